@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +45,13 @@ def simhash(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id``, ``digest`` of the text and ``fp``, the SimHash as a signed long, of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(x, shingle) for x in b["text"]], np.uint64).view(np.int64)
-            yield b[["doc_id", "digest"]].assign(fp=fps)
+            fps = np.array([simhash(x, shingle) for x in b["text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], pa.array(fps)], ["doc_id", "digest", "fp"])
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
-    return whole.mapInPandas(run, "doc_id long, digest long, fp long")
+    return whole.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _radii(distance: int, segments: int) -> list[int]:
