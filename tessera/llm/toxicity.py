@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import bounded_sample
+
 #: Labelled documents of each class that the model is fitted on, at most; taken by a hash of doc_id.
 SAMPLE = 6_000
 #: Weight of the Dirichlet prior in tokens, deviation beyond which a log-odds ratio counts, length of stems.
@@ -171,25 +173,6 @@ def fit(labelled: list[tuple[str | None, int]]) -> Model:
     return model
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
-    """(text, y): at most ``most`` labelled documents of each class, by a hash of doc_id.
-
-    Ids without a label, with labels that contradict one another, or repeated rows of one text count
-    once or not at all. The hash threshold is chosen from the class's count, so that no sort of all
-    rows is needed; the final limit holds the bound whatever the hash does.
-    """
-    given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("_other")).where(F.col("y") == F.col("_other")).select("doc_id", "y")
-    sizes = {r["y"]: r["count"] for r in given.groupBy("y").count().collect()}
-    picked = None
-    for y in (0, 1):
-        share = min(1.0, 1.2 * most / max(1, sizes.get(y, 0)))
-        dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(y)), F.lit(1 << 20)) < int(share * (1 << 20))
-        part = given.where((F.col("y") == y) & dealt).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = part if picked is None else picked.union(part)
-    whole = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return whole.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "y")
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> Model:
     rows = bounded_sample(docs, labels, "toxic", usable, most).collect()
     return fit(sorted(((r["text"], r["y"]) for r in rows), key=lambda x: (x[0] or "", x[1])))
