@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, packing, quality, simhash, token_counts, topk, toxicity
+from tessera.llm import bpe, fingerprints, line_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, toxicity
 from tessera.llm._shared import table
 
 
@@ -50,6 +50,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, 0.3).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "top_passage")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.col("doc_id") > F.col("first_doc_id"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=2, segments=2, shingle=3)
     return found.select("doc_id", simhash.hex64(found["fp"]).alias("fingerprint"), "component_id")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
