@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from tessera.llm._shared import stored
 
 #: Rows of a shard and of a block of queries, at most about; shards at least (so that all executors have work).
 SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 16_384, 2_048, 24
-#: Postings that are traversed at once, and queries whose scores are held at once.
-STRIDE, HELD = 2_048, 256
+#: Postings that are traversed at once (few at first, so that the k-th best score soon cuts), and queries whose scores are held at once.
+FIRST, STRIDE, HELD = 64, 2_048, 256
 
 #: Stands for no score yet; its negative is a long, too.
 NOTHING = -(1 << 62)
@@ -40,9 +41,11 @@ def search_shard(queries: np.ndarray, own: np.ndarray, postings: np.ndarray, ids
     width, n = postings.shape
     at_least = np.full((len(queries), k), NOTHING)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
-    for start in range(0, n, STRIDE):
-        block = np.ascontiguousarray(postings[:, start : start + STRIDE])
-        names = ids[start : start + STRIDE]
+    start, stride = 0, FIRST
+    while start < n:
+        block = np.ascontiguousarray(postings[:, start : start + stride])
+        names = ids[start : start + stride]
+        start, stride = start + stride, min(4 * stride, STRIDE)
         low, high = block.min(axis=1), block.max(axis=1)
         bounds = np.maximum(queries * low, queries * high)
         order = np.argsort(bounds, axis=1, kind="stable")
@@ -55,7 +58,9 @@ def search_shard(queries: np.ndarray, own: np.ndarray, postings: np.ndarray, ids
         np.put_along_axis(essential, order, np.arange(width)[None, :] >= spare[:, None], 1)
         rest = np.where(spare > 0, np.take_along_axis(total, np.maximum(spare - 1, 0)[:, None], 1)[:, 0], 0)
         partial = np.where(essential, queries, 0) @ block
-        row, col = np.nonzero((partial >= (bar - rest)[:, None]) & (names[None, :] != own[:, None]))
+        row, col = np.nonzero(partial >= (bar - rest)[:, None])
+        other = names[col] != own[row]
+        row, col = row[other], col[other]
         score = partial[row, col].astype(np.int64)
         left = rest[row].copy()
         step = spare[row] - 1
@@ -113,17 +118,17 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64) -> Da
     right = clean.select(every(blocks).alias("block"), group(shards, 2).alias("shard"), F.col("vec_id"), "q")
 
     def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-        values = column.to_pylist()
-        out = np.zeros((len(values), width))
-        for i, v in enumerate(values):
-            out[i, : len(v)] = v
+        lists = column.combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.zeros((len(lists), width))
+        out[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
         return out
 
     def search(ask: pa.Table, stock: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
         if len(ask) and len(stock):
             stock = stock.sort_by("vec_id")
-            width = max(max(map(len, t["q"].to_pylist())) for t in (ask, stock))
+            width = max(pc.max(pc.list_value_length(t["q"])).as_py() for t in (ask, stock))
             postings = matrix(stock["q"], width).T.copy()
             ids, own = stock["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
             for at in range(0, len(ask), HELD):
