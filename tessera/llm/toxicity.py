@@ -17,7 +17,7 @@ from tessera.llm._shared import bounded_sample
 
 #: Labelled documents of each class that the model is fitted on, at most; taken by a hash of doc_id.
 SAMPLE = 6_000
-#: Weight of the Dirichlet prior in tokens, deviation beyond which a log-odds ratio counts, length of stems.
+#: Weight of the Dirichlet prior in tokens (a tenth of the counts, where they are few), deviation beyond which a log-odds ratio counts, length of stems.
 PRIOR, DEVIATION, STEM = 5_000.0, 3.0, 4
 #: Expected number of segments as good in clean text of the same length, below which one is significant.
 SIGNIFICANT = 0.01
@@ -60,11 +60,12 @@ def log_odds(toxic: Counter, clean: Counter) -> dict[str, tuple[float, float]]:
     """token: (log-odds ratio, its z-score), with an informative Dirichlet prior in the proportion of both counts together."""
     n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
     total = max(1, n_toxic + n_clean)
+    weight = min(PRIOR, total / 10)
     out = {}
     for token in toxic.keys() | clean.keys():
         a, b = toxic[token], clean[token]
-        prior = PRIOR * (a + b) / total
-        odds = math.log((a + prior) / (n_toxic + PRIOR - a - prior)) - math.log((b + prior) / (n_clean + PRIOR - b - prior))
+        prior = weight * (a + b) / total
+        odds = math.log((a + prior) / (n_toxic + weight - a - prior)) - math.log((b + prior) / (n_clean + weight - b - prior))
         out[token] = odds, odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
     return out
 
