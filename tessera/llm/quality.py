@@ -85,10 +85,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.array(top, np.int64)
 
 
+def _runs(texts: list[str | None], held: int = HELD) -> Iterator[list[str | None]]:
+    """The texts in runs of at most ``held`` characters (or one longer text)."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= held):
+            size += len(texts[end] or "")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def _all_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``passages``, run by run, so that only the features of all texts are held at once."""
+    parts = [passages(part) for part in _runs(texts, HELD >> 2)]
+    offsets = np.cumsum([0, *(len(x) for x, _ in parts)])
+    return np.vstack([x for x, _ in parts]), np.concatenate([first + o for (_, first), o in zip(parts, offsets, strict=False)])
+
+
 def fit(labelled: list[tuple[str | None, int]], share: float | None = None, rounds: int = 40, seed: int = 7) -> Model:
     """Learn from (text, label) pairs; ``share``: of label 1 in the population, which the loss is weighted to. One label alone is scored as sure."""
     y = np.array([label for _, label in labelled], float)
-    x, first = passages([text for text, _ in labelled]) if labelled else (np.zeros((1, 256 + PAIRS + 1), np.float32), np.zeros(1, np.int64))
+    x, first = _all_passages([text for text, _ in labelled]) if labelled else (np.zeros((1, 256 + PAIRS + 1), np.float32), np.zeros(1, np.int64))
     rng = np.random.default_rng(seed)
     scale = 1 / np.maximum(x.std(axis=0), 1e-2)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -141,14 +160,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         model = shipped.value
         for b in batches:
             texts = b["text"].to_pylist()
-            parts, at = [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= HELD):
-                    size += len(texts[end] or "")
-                    end += 1
-                parts.append(model.scores(texts[at:end]))
-                at = end
+            parts = [model.scores(part) for part in _runs(texts)]
             score, top = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(top)], ["doc_id", "score", "predicted", "top_passage"])
 
