@@ -9,6 +9,10 @@ from tessera.llm._shared import drop_path, stored
 
 #: Edit distance up to which a line repeats another, and code points that a line needs to be judged at all.
 DISTANCE, LEAST_CHARS = 2, 20
+#: Bits of the map by which a second scan finds the lines to verify (128 KB).
+SLOTS = 7 << 17
+#: Letters whose counts tell most pairs of different lines apart before their texts are fetched.
+LETTERS = "etaoinsrhldu"
 
 
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -32,27 +36,32 @@ def _segment(size: Column, i: int, parts: int) -> tuple[Column, Column]:
     return 1 + i * short + F.greatest(F.lit(0), F.lit(i) - late), short + F.when(F.lit(i) >= late, 1).otherwise(0)
 
 
-def _keys(line: str, size: str, distance: int) -> tuple[list[Column], list[Column]]:
-    """Keys under which a line is stored (one a segment), and those by which it asks for lines that are as long or up to ``distance`` shorter.
+#: What a key stands for: asking for shorter lines, stored, asking for lines as long. Two low bits of a tagged id.
+_SHORTER, _STORED, _AS_LONG = 0, 1, 2
+
+
+def _keys(line: str, size: str, distance: int) -> list[tuple[int, Column]]:
+    """(role, key): keys under which a line is stored (one a segment), and by which it asks for lines as long or up to ``distance`` shorter.
 
     If two lines are within the distance, one of distance + 1 segments of the shorter one stands
     unchanged in the longer one. Segment i can have moved by at most i (edits before it, counted from
     the left) and, from the right, by the difference in length and the edits after it: both bounds
-    leave about distance^2 / 2 places for each length. The key holds segment number and length.
+    leave about distance^2 / 2 places for each length. The key holds segment number and length. An
+    unmoved segment of a line as long has the stored key itself, so there is no asking for it.
     """
     parts = distance + 1
-    stock, asks = [], []
+    out = []
     for shorter in range(distance + 1):
         length = F.col(size) - shorter
         for i in range(parts):
             start, width = _segment(length, i, parts)
             for shift in range(max(-i, shorter - (distance - i)), min(i, shorter + (distance - i)) + 1):
                 key = F.xxhash64(F.substring(F.col(line), start + shift, width), F.lit(i), length)
-                # a place before the line's start or past its end holds no such segment
-                asks.append(F.when((start + shift >= 1) & (start + shift + width <= F.col(size) + 1), key))
-            if not shorter:
-                stock.append(F.xxhash64(F.substring(F.col(line), start, width), F.lit(i), length))
-    return stock, asks
+                if not shorter and not shift:
+                    out.append((_STORED, key))
+                else:  # a place before the line's start or past its end holds no such segment
+                    out.append((_SHORTER if shorter else _AS_LONG, F.when((start + shift >= 1) & (start + shift + width <= F.col(size) + 1), key)))
+    return out
 
 
 def banded_distance(a: Column, b: Column, distance: int) -> Column:
@@ -97,7 +106,8 @@ def banded_distance(a: Column, b: Column, distance: int) -> Column:
                 new = new.bitwiseOR(F.shiftleft(now, e * width))
             return new
 
-        return F.get(F.transform(F.array(step(levels, j)), levelled), F.lit(0))
+        # once no level holds anything the distance is exceeded, and the rest of the text is skipped
+        return F.when(levels == 0, levels).otherwise(F.get(F.transform(F.array(step(levels, j)), levelled), F.lit(0)))
 
     steps = F.when(size_b > 0, F.sequence(F.lit(1), size_b)).otherwise(F.array().cast("array<int>"))
     last = F.aggregate(steps, F.lit(start).cast("long"), advance)
@@ -108,14 +118,89 @@ def banded_distance(a: Column, b: Column, distance: int) -> Column:
     return F.when(F.abs(size_a - size_b) > distance, F.lit(distance + 1)).otherwise(out)
 
 
-def near_lines(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (u, v), u < v, of the ``h1`` of different lines that share a segment key: the candidates of the edit join.
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in the line, modulo 32, five bits each in one long."""
+    out = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(32)).cast("long"), 5 * i))
+    return out
+
+
+def _letters_apart(a: Column, b: Column) -> Column:
+    """A lower bound of by how much the letters' counts differ; an edit changes two of them by one, at most."""
+    out = F.lit(0)
+    for i in range(len(LETTERS)):
+        apart = F.abs(F.shiftrightunsigned(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * i).bitwiseAND(F.lit(31)))
+        out = out + F.least(apart, 32 - apart)
+    return out
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix, by steps of halving powers of two."""
+    most = F.least(F.length(a), F.length(b))
+
+    def grow(n: Column, step: Column) -> Column:
+        fits = (n + step <= most) & (F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step))
+        return F.when(fits, n + step).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << p) for p in reversed(range(24))]), F.lit(0), grow)
+
+
+def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Cut the common prefix and then the common suffix of two string columns; their edit distance stays.
 
-    lines: distinct, with the columns ``stock_0..`` and ``ask_0..`` of ``_keys``.
+    Each cut is written out, or else the optimizer would inline it into every use of the shorter text.
     """
-    side = lambda kind, name: lines.select(F.col("h1").alias(name), F.explode(F.array(*[c for c in lines.columns if c.startswith(kind)])).alias("key"))
-    asks, stock = side("ask_", "a").where("key is not null"), side("stock_", "b")
-    pairs = asks.join(stock, "key").where("a <> b")
+    for flip in (False, True):
+        x, y = (F.reverse(a), F.reverse(b)) if flip else (F.col(a), F.col(b))
+        # few bytes, much work: spread by rows, not by size
+        pairs = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
+        pairs, _ = stored(pairs.withColumn("_n", _common_start(x, y)), "line-compared")
+        start = F.lit(1) if flip else F.col("_n") + 1
+        pairs = pairs.withColumn(a, F.substring(F.col(a), start, F.length(a) - F.col("_n"))).withColumn(b, F.substring(F.col(b), start, F.length(b) - F.col("_n"))).drop("_n")
+    return pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _may_hold(wanted: DataFrame, column: str) -> Column:
+    """Whether a hash may be among the wanted ones: a map of SLOTS bits, whatever their number, that spares most other rows the shuffle."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS)).cast("int")
+    table = bytearray(SLOTS // 7)  # seven bits a byte, so that each is an ASCII character
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 56))
+    for r in wanted.groupBy(F.floor(slot / 56).alias("at")).agg(F.bit_or(mark).alias("marks")).collect():
+        for k in range(8):
+            table[8 * r["at"] + k] = r["marks"] >> (7 * k) & 127
+    byte = F.ascii(F.substring(F.lit(bytes(table)), F.floor(slot / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, slot % 7).bitwiseAND(F.lit(1)) == 1
+
+
+def _id(h1: Column) -> Column:
+    """A line's hash without the bits that hold a role; lines that share it are told apart by their texts."""
+    return h1.bitwiseAND(F.lit(-4).cast("long"))
+
+
+def near_members(known: DataFrame, roles: list[int]) -> DataFrame:
+    """(key, id, role) of the keys that one line stores and another has, too. known: distinct lines, ``h1`` and ``key_0..``, with their roles.
+
+    One shuffle by key serves both the count of each key and the choice of its rows; nearly all keys
+    belong to one line and end here.
+    """
+    tagged = [F.struct(F.col(f"key_{i}").alias("key"), _id(F.col("h1")).bitwiseOR(F.lit(r).cast("long")).alias("tag")) for i, r in enumerate(roles)]
+    rows = known.select(F.explode(F.array(*tagged)).alias("e")).select("e.key", "e.tag").where("key is not null")
+    rows = rows.repartition("key")
+    role = F.col("tag").bitwiseAND(F.lit(3).cast("long"))
+    shared = rows.groupBy("key").agg(F.count(F.when(role == _STORED, 1)).alias("stored"), F.min(_id(F.col("tag"))).alias("a"), F.max(_id(F.col("tag"))).alias("b")).where("stored > 0 and a <> b").select("key")
+    return rows.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", _id(F.col("tag")).alias("id"), role.cast("int").alias("role"))
+
+
+def near_pairs(members: DataFrame, letters: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v), u < v, of ids that share a key and about the letters' counts. letters: (id, letters)."""
+    full = members.join(letters, "id")
+    a = full.select("key", F.col("id").alias("a"), F.col("role").alias("a_role"), F.col("letters").alias("a_letters"))
+    b = full.where(F.col("role") == _STORED).select("key", F.col("id").alias("b"), F.col("letters").alias("b_letters"))
+    # of lines as long one direction is enough
+    met = (F.col("a") != F.col("b")) & ((F.col("a_role") == _SHORTER) | (F.col("a") < F.col("b"))) & (_letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * distance)
+    pairs = a.join(b, "key").where(met)
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -130,22 +215,25 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int =
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
     lines = _lines(docs, least_chars)
-    stock, asks = _keys("line", "size", distance)
-    keyed = lines.select("h1", "h2", _place().alias("place"), *[c.alias(f"stock_{i}") for i, c in enumerate(stock)], *[c.alias(f"ask_{i}") for i, c in enumerate(asks)])
-    keys = [c for c in keyed.columns if c.startswith(("stock_", "ask_"))]
-    known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in keys])
+    made = _keys("line", "size", distance)
+    names = [f"key_{i}" for i in range(len(made))]
+    keyed = lines.select("h1", "h2", _place().alias("place"), *[c.alias(n) for n, (_, c) in zip(names, made, strict=True)])
+    known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
     known, large = stored(known, "lines")
-    pairs, _ = stored(near_lines(known, distance), "line-pairs")
-    places, _ = stored(known.drop(*keys), "line-places")
+    members, _ = stored(near_members(known, [role for role, _ in made]), "line-members")
+    places, _ = stored(known.select("h1", "h2", "place", "n"), "line-places")
     drop_path(docs.sparkSession, large)
 
-    wanted = pairs.select(F.col("u").alias("h1")).union(pairs.select(F.col("v").alias("h1"))).distinct()
-    texts = lines.select("h1", "h2", "line").join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]).join(places.select("h1", "h2", "place"), ["h1", "h2"])
+    wanted, _ = stored(members.select("id").distinct(), "lines-wanted")
+    with_id = lines.select("h1", "h2", "line", _id(F.col("h1")).alias("id"))
+    texts = with_id.where(_may_hold(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["h1", "h2"]).join(places.select("h1", "h2", "place"), ["h1", "h2"])
     texts, _ = stored(texts, "line-texts")
-    side = lambda x: texts.select(F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("h1", "h2", "line", "place")])
+    letters, _ = stored(texts.select("id", letter_counts(F.col("line")).alias("letters")), "line-letters")
+    pairs, _ = stored(near_pairs(members, letters, distance), "line-pairs")
+    side = lambda x: texts.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("h1", "h2", "line", "place")])
     both = pairs.join(side("u"), "u").join(side("v"), "v").where("u_line <> v_line")
+    both = _without_common_ends(both, "u_line", "v_line")
     close = both.where(banded_distance(F.col("u_line"), F.col("v_line"), distance) <= distance)
-    # hash twins aside, the later line of a pair goes
     later = close.select(*[F.when(F.col("u_place") > F.col("v_place"), F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(c) for c in ("h1", "h2")]).distinct()
     later, _ = stored(later.withColumn("near", F.lit(True)), "line-later")
     judged = places.join(later, ["h1", "h2"], "left").where("n > 1 or near")
@@ -166,12 +254,13 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LE
         F.collect_set("line_no").alias("_gone"), F.count(F.when(F.col("exact"), 1)).alias("_exact")
     )
     gone, _ = stored(gone.withColumnRenamed("doc_id", "_of"), "lines-gone")
-    joined = docs.drop("n_lines", "n_exact", "n_near").join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    split = F.split(F.col("text").cast("string"), "\n")
-    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone"), lambda i: F.get(split, i))
+    joined = docs.drop("n_lines", "n_exact", "n_near").join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    # a column of its own, or else the text would be split again for every line
+    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n")))
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get(F.col("_lines"), i))
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     counts = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1),
         "n_exact": F.coalesce(F.col("_exact"), F.lit(0)).cast("int"),
         "n_near": F.coalesce(F.size("_gone") - F.col("_exact"), F.lit(0)).cast("int"),
     }
