@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORDS, ONE_OF, LEAST = 5, 16, 64
 #: Documents of a window partition, at most about, where ids are dense.
 BUCKET = 2_000
+#: Buckets up to which their first keys are broadcast (16 bytes each).
+OPENED = 200_000
 
 _MOST = (1 << 63) - 1
 
@@ -92,6 +94,8 @@ def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", tie: str =
     first = Window.orderBy("_area").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     areas = areas.select("_area", F.coalesce(F.lead("_low").over(Window.orderBy("_area")), F.min("_low").over(first)).alias("_above"))
     opened = tops.withColumn("_to", F.lead("_bucket").over(higher)).join(areas, "_area").select("_top", F.coalesce("_to", "_above").alias("_to"))
+    if size["n"] // BUCKET < OPENED:  # so many rows at most, but for a few: small enough to spare the table a shuffle
+        opened = F.broadcast(opened)
     guests = df.join(opened, df[key].eqNullSafe(opened["_top"])).drop("_top").withColumnRenamed("_to", "_bucket").withColumn("_guest", F.lit(1))
     rows = add(df.withColumn("_bucket", bucket).withColumn("_guest", F.lit(0)).unionByName(guests))
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc_nulls_last(key), tie)
