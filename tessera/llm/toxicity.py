@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +58,37 @@ class Model:
         return np.array(place, np.int64), np.array(score)
 
 
-def log_odds(toxic: Counter, clean: Counter) -> dict[str, tuple[float, float]]:
-    """token: (log-odds ratio, its z-score), with an informative Dirichlet prior in the proportion of both counts together."""
-    n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
+def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds ratios and z-scores of tokens by their counts in both classes, with an informative Dirichlet prior in the proportion of both counts together."""
+    n_toxic, n_clean = toxic.sum(), clean.sum()
     total = max(1, n_toxic + n_clean)
     weight = min(PRIOR, total / 10)
-    out = {}
-    for token in toxic.keys() | clean.keys():
-        a, b = toxic[token], clean[token]
-        prior = weight * (a + b) / total
-        odds = math.log((a + prior) / (n_toxic + weight - a - prior)) - math.log((b + prior) / (n_clean + weight - b - prior))
-        out[token] = odds, odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
+    prior = weight * (toxic + clean) / total
+    odds = np.log((toxic + prior) / (n_toxic + weight - toxic - prior)) - np.log((clean + prior) / (n_clean + weight - clean - prior))
+    return odds, odds / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+
+
+def telling(labelled: Iterable[tuple[str | None, int]], cut: slice) -> dict[str, float]:
+    """The log-odds of those tokens (the given part of each word) whose deviation counts.
+
+    A token counts once a document: one that a document repeats is no evidence about its class. Counts
+    are held by 64-bit hashes, and a second pass spells the few tokens that tell.
+    """
+    hashes: dict[int, list[np.ndarray]] = {0: [np.empty(0, np.uint64)], 1: [np.empty(0, np.uint64)]}
+    for text, label in labelled:
+        own = {t[cut] for t in words(text)}
+        hashes[label].append(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
+    both = {label: np.concatenate(parts) for label, parts in hashes.items()}
+    names, at = np.unique(np.concatenate([both[1], both[0]]), return_inverse=True)
+    toxic, clean = (np.bincount(x, minlength=len(names)) for x in (at[: len(both[1])], at[len(both[1]) :]))
+    odds, deviation = log_odds(toxic, clean)
+    keep = (np.abs(deviation) >= DEVIATION) & (np.abs(odds) > 0.05)
+    wanted = dict(zip(names[keep].tolist(), odds[keep].tolist(), strict=True))
+    out: dict[str, float] = {}
+    for text, _ in labelled:
+        for t in {t[cut] for t in words(text)}:
+            if (x := wanted.get(xxhash.xxh64_intdigest(t))) is not None:
+                out[t] = x
     return out
 
 
@@ -120,28 +142,18 @@ def score(model: Model, text: str | None) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.shift))))
 
 
-def fit(labelled: list[tuple[str | None, int]]) -> Model:
-    """The model of (text, label) pairs; without both labels it finds nothing toxic."""
-    counted = {0: Counter(), 1: Counter()}
-    stemmed = {0: Counter(), 1: Counter()}
-    plain = {0: Counter(), 1: Counter()}
-    for text, label in labelled:
-        tokens = words(text)
-        # once a document: a word that one document repeats is no evidence about its class
-        counted[label].update(set(tokens))
-        stemmed[label].update({t[:STEM] for t in tokens})
-        plain[label].update(tokens)
-    n = {label: sum(c.values()) for label, c in counted.items()}
-    if not n[0] or not n[1]:
+def fit(labelled: Iterable[tuple[str | None, int]]) -> Model:
+    """The model of (text, label) pairs, which are read several times; without both labels it finds nothing toxic."""
+    if len({label for text, label in labelled if words(text)}) < 2:
         return Model({}, {}, -1.0, shift=-30.0)
-    keep = lambda pairs: {t: s for t, (s, z) in pairs.items() if abs(z) >= DEVIATION and abs(s) > 0.05}
-    odds, stems = keep(log_odds(counted[1], counted[0])), keep(log_odds(stemmed[1], stemmed[0]))
+    odds, stems = telling(labelled, slice(None)), telling(labelled, slice(STEM))
     model = Model(odds, stems, other=-0.25)
     # what a word of clean text scores: the decay is the positive root of E[exp(decay * score)] = 1
     values: Counter = Counter()
-    for token, k in plain[0].items():
-        values[round(odds.get(token) or stems.get(token[:STEM]) or model.other, 3)] += k
-    x, p = np.array(list(values)), np.array(list(values.values())) / sum(plain[0].values())
+    for text, label in labelled:
+        if not label:
+            values.update([round(odds.get(t) or stems.get(t[:STEM]) or model.other, 3) for t in words(text)])
+    x, p = np.array(list(values)), np.array(list(values.values())) / max(1, values.total())
     drift = float(x @ p)
     if drift >= 0:  # else clean text would be one segment
         model.other -= drift + 0.05
@@ -174,9 +186,21 @@ def fit(labelled: list[tuple[str | None, int]]) -> Model:
     return model
 
 
+class Packed:
+    """(text, label) pairs that are read several times, the texts compressed meanwhile."""
+
+    def __init__(self, rows: Iterable[tuple[str | None, int]]) -> None:
+        self.rows = sorted((zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1), label) for text, label in rows)
+
+    def __iter__(self) -> Iterator[tuple[str, int]]:
+        for packed, label in self.rows:
+            yield zlib.decompress(packed).decode("utf-8", "surrogatepass"), label
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> Model:
-    rows = bounded_sample(docs, labels, "toxic", usable, most).collect()
-    return fit(sorted(((r["text"], r["y"]) for r in rows), key=lambda x: (x[0] or "", x[1])))
+    """Fit on at most ``most`` labelled documents of each class; the driver takes them part by part and keeps them compressed."""
+    rows = bounded_sample(docs, labels, "toxic", usable, most)
+    return fit(Packed((r["text"], r["y"]) for r in rows.toLocalIterator()))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
