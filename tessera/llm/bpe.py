@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +13,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 
-_caches: dict[str, tuple[Vocabulary, dict[str, bytes]]] = {}
+_caches: dict[str, tuple[Vocabulary, Cache]] = {}
 
-#: Code points that are split and replayed together, and different pieces that a worker keeps.
+#: Code points that are split and replayed together, and different pieces that a worker keeps (of those in several blocks, in one).
 BLOCK_CHARS = 1 << 22
-CACHED = 400_000
+OFTEN, ONCE = 500_000, 300_000
+#: Ranks below which all positions of a merge are taken at once.
+FREQUENT = 1_500
 
 
 class Vocabulary:
-    """Ids of the single bytes, the merge of each pair of ids, and the bytes of each id."""
+    """Ids of the single bytes, ranks of the pairs of bytes, the merge of each pair of ids, and the bytes of each id."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.base = [ranks[bytes([b])] for b in range(256)]
+        self.first_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.first_ranks = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
         self.spelled = {i: token for token, i in ranks.items()}
         # every way to halve a token is a merge of that token's rank: a pair may merge if the joined bytes have a rank
         self.shift = max(ranks.values(), default=0).bit_length()
@@ -35,10 +37,76 @@ class Vocabulary:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.merged[left << self.shift | right] = rank
+        self.pairs = np.array(sorted(self.merged), np.int64)
+        self.pair_ranks = np.array([self.merged[k] for k in self.pairs.tolist()], np.int64)
 
+    def ranks_of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge's rank for each pair of ids, -1 where there is none."""
+        if not len(self.pairs):
+            return np.full(len(left), -1)
+        key = left << self.shift | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
 
-def replay(words: Iterable[bytes], vocab: Vocabulary) -> list[array]:
-    """The ids of each word, all words encoded at once.
+
+def _frequent_merges(vocab: Vocabulary, symbol: np.ndarray, after: np.ndarray, before: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> dict[int, list[int]]:
+    """Apply the merges of the ranks below FREQUENT, all positions of a rank at once; returns the index that is left.
+
+    These are the merges with the most positions. The three arrays are changed in place. The index holds
+    sorted runs of (rank, position) that are split by rank once; pairs that arise are gathered by rank.
+    """
+    index: dict[int, list[np.ndarray]] = {}
+
+    def enter(at: np.ndarray, rank: np.ndarray) -> None:
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.nonzero(np.diff(rank))[0] + 1
+        for r, part in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True):
+            index.setdefault(r, []).append(part)
+
+    if len(places):
+        enter(places, ranks)
+    for rank in range(FREQUENT):
+        parts = index.pop(rank, None)
+        if parts is None:
+            continue
+        at = np.sort(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        right = after[at]
+        live = (symbol[at] >= 0) & (symbol[right] >= 0)
+        at, right = at[live], right[live]
+        same = vocab.ranks_of_pairs(symbol[at], symbol[right]) == rank
+        at, right = at[same], right[same]
+        if len(at) > 1 and (at[1:] == right[:-1]).any():
+            # overlaps: from the left, a position whose left symbol has just been taken is skipped
+            taken, keep = -1, np.ones(len(at), bool)
+            for k, (i, j) in enumerate(zip(at.tolist(), right.tolist(), strict=True)):
+                if i == taken:
+                    keep[k] = False
+                else:
+                    taken = j
+            at, right = at[keep], right[keep]
+        if not len(at):
+            continue
+        symbol[at], symbol[right] = rank, -2
+        behind = after[right]
+        after[at] = behind
+        before[behind] = at  # a gap ends each word, so there is always one
+        ahead = before[at]
+        one = symbol[behind] >= 0
+        two = ahead >= 0
+        two[two] = symbol[ahead[two]] >= 0
+        new = np.concatenate([at[one], ahead[two]])
+        if len(new):
+            new = np.unique(new)
+            found = vocab.ranks_of_pairs(symbol[new], symbol[after[new]])
+            real = found >= 0
+            if real.any():
+                enter(new[real], found[real])
+    return {r: np.concatenate(parts).tolist() for r, parts in index.items()}
+
+
+def replay(words: Iterable[bytes], vocab: Vocabulary) -> list[bytes]:
+    """The ids of each word as little-endian unsigned 32-bit integers, all words encoded at once.
 
     All words lie in one row of symbols with gaps between. An inverted index leads from each pair that
     may merge to the positions where it stands. Merges are taken in rank order; each visits just its own
@@ -46,30 +114,23 @@ def replay(words: Iterable[bytes], vocab: Vocabulary) -> list[array]:
     the index. A pair holds tokens that earlier merges made, so all its positions are known when its
     turn comes. Within a merge positions go from left to right, which settles overlaps.
     """
-    base, merged, shift = vocab.base, vocab.merged, vocab.shift
-    symbol: list[int] = []
-    spans: list[tuple[int, int]] = []
-    for w in words:
-        start = len(symbol)
-        symbol.extend(map(base.__getitem__, w))
-        spans.append((start, len(symbol)))
-        symbol.append(-1)
-    n = len(symbol)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}  # rank of the merge: positions of the left symbol
+    merged, shift = vocab.merged, vocab.shift
+    words = list(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    row = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+    gap = np.zeros(len(row), bool)
+    gap[ends - 1] = True
+    symbols = np.where(gap, -1, vocab.first_ids[row])
+    n = len(symbols)
+    follows, precedes = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # rank of the merge: positions of the left symbol
+    ranks = np.where(gap[:-1] | gap[1:], -1, vocab.first_ranks[row[:-1], row[1:]]) if n else np.empty(0, np.int64)
+    places_of = np.nonzero(ranks >= 0)[0]
+    index = _frequent_merges(vocab, symbols, follows, precedes, places_of, ranks[places_of])
+    symbol: list[int] = symbols.tolist()
+    after: list[int] = follows.tolist()
+    before: list[int] = precedes.tolist()
     get = merged.get
-    for start, end in spans:
-        left = symbol[start]
-        for i in range(start, end - 1):
-            right = symbol[i + 1]
-            rank = get(left << shift | right)
-            if rank is not None:
-                if rank in index:
-                    index[rank].append(i)
-                else:
-                    index[rank] = [i]
-            left = right
     due = list(index)
     heapq.heapify(due)
     while due:
@@ -106,24 +167,41 @@ def replay(words: Iterable[bytes], vocab: Vocabulary) -> list[array]:
                     else:
                         index[new] = [h]
                         heapq.heappush(due, new)
-    return [array("I", [s for s in symbol[a:b] if s >= 0]) for a, b in spans]
-
-
-def encode_texts(texts: list[str], vocab: Vocabulary, cache: dict[str, bytes], find) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers; pieces that no text before had are replayed together."""
+    done = np.array(symbol, np.int64)
+    kept = done[done != -2]
+    cuts = np.nonzero(kept == -1)[0].tolist()
+    ids = kept.astype("<u4").tobytes()
+    return [ids[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts[:-1])], cuts, strict=True)] if cuts else []
+
+
+class Cache:
+    """Ids by piece: those of pieces that at least two blocks held, and those that one held so far. Both are bounded."""
+
+    def __init__(self, often: int = OFTEN, once: int = ONCE) -> None:
+        self.often: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        self.limits = often, once
+
+    def take(self, wanted: set[str], vocab: Vocabulary) -> dict[str, bytes]:
+        """The ids of all wanted pieces; those not at hand are replayed together."""
+        new = wanted.difference(self.often)
+        again = new.intersection(self.once)
+        if len(self.often) + len(again) > self.limits[0]:
+            self.often = {p: self.often[p] for p in wanted.difference(new)}
+        self.often.update((p, self.once.pop(p)) for p in again)
+        fresh = sorted(new - again)
+        made = dict(zip(fresh, replay([p.encode("utf-8", "surrogatepass") for p in fresh], vocab), strict=True))
+        if len(self.once) + len(made) > self.limits[1]:
+            self.once = {}
+        if len(made) <= self.limits[1]:
+            self.once.update(made)
+        return {p: made[p] if p in made else self.often[p] for p in wanted}
+
+
+def encode_texts(texts: list[str], vocab: Vocabulary, cache: Cache, find: Callable[[str], list[str]]) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers."""
     pieces = [find(x) for x in texts]
-    fresh = sorted({p for found in pieces for p in found if p not in cache})
-    known = cache
-    if len(cache) + len(fresh) > CACHED:
-        # pieces of this block must be at hand; of those from before, none is needed for right results
-        known = {p: cache[p] for found in pieces for p in found if p in cache}
-        cache.clear()
-        if len(known) + len(fresh) <= CACHED:
-            cache.update(known)
-            known = cache
-    little = np.dtype("<u4")
-    for piece, ids in zip(fresh, replay([p.encode("utf-8", "surrogatepass") for p in fresh], vocab), strict=True):
-        known[piece] = np.frombuffer(ids, np.uint32).astype(little, copy=False).tobytes()
+    known = cache.take(set().union(*pieces), vocab)
     for found in pieces:
         yield b"".join(map(known.__getitem__, found))
 
@@ -139,7 +217,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -
     empty, and an empty text has no ids. The ids are decoded again and the bytes' digest returned. Rows
     stay as they are: repeated rows give repeated results, an empty table none, other columns of docs
     are not read. Pieces are replayed in blocks of at most BLOCK_CHARS code points (or one longer text),
-    and each worker keeps at most CACHED pieces, so memory does not follow the corpus.
+    and each worker keeps at most OFTEN + ONCE pieces, so memory does not follow the corpus.
     """
     ranks = tokens.ranks_of(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern, tokens.key_of(ranks)))
@@ -147,7 +225,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern, key = shipped.value
         if key not in _caches:
-            _caches[key] = (Vocabulary(ranks), {})
+            _caches[key] = (Vocabulary(ranks), Cache())
         vocab, cache = _caches[key]
         find = tokens.splitter(pattern).findall
         for b in batches:
