@@ -52,6 +52,13 @@ def _signature(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is itself a u: then each v is the smallest node of its component."""
+    nodes = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), F.when(F.col("n") > 1, 2).otherwise(1).alias("role"))
+    roots = edges.select(F.col("v").alias("x")).distinct().withColumn("role", F.lit(1))
+    return nodes.union(roots).groupBy("x").agg(F.sum("role").alias("roles")).where("roles > 1").isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links ``(u, v)``: rows ``(node, root)``, root the smallest node.
 
@@ -91,7 +98,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             drop_path(spark, at)
         old = [path]
         edges, done, seen = after, now == seen, now
-        if done:
+        if done or _are_stars(edges):
             break
     else:
         raise RuntimeError(f"no fixed point of the components after {max_rounds} rounds")

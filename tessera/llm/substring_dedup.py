@@ -10,19 +10,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import components, shared_dir, stored
 
 #: Words of a shingle, similarity and recall of the banding, words that a paragraph needs to be compared as a whole.
 SHINGLE, SIMILAR, RECALL, LEAST_WORDS = 5, 0.8, 0.998, 40
+#: Rows of a band of the second, finer banding.
+FINE_ROWS = 8
 #: Words of an anchor, and anchors' starts of which one is chosen: any common run of ANCHOR + CHOICE - 1 = 49 words has one.
 ANCHOR, CHOICE = 20, 30
 #: Words by which a passage grows to its sentence's ends, at most.
 GROW = 30
 #: Bits of the filter by which a second pass finds the paragraphs to verify.
 FILTER_BITS = 23
+#: Bits of a paragraph's map of shingles, by which most unlike pairs drop out before their sets are fetched.
+MARKS = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\S+")
@@ -165,20 +169,20 @@ def _bit(h1: int, doc_id: int) -> int:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, shingles) of the wanted paragraphs (h1, least: a document that has it).
+    """(h1, shingles, marks) of the wanted paragraphs (h1, least: a document that has it).
 
     A second pass over the texts, without a shuffle of them: a filter of fixed size (2 ** FILTER_BITS
     bits, built by an aggregate of at most one row for 64 bits) tells which paragraphs may be wanted;
     what it lets through in vain drops out in the join.
     """
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [_bit(h, d) for h, d in zip(b["h1"].to_pylist(), b["least"].to_pylist(), strict=True)]
             at = np.array(bits, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["slot", "mask"])
 
-    slots = wanted.select("h1", "least").mapInArrow(marks, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
+    slots = wanted.select("h1", "least").mapInArrow(slots_of, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in slots.collect():
         table[r["slot"]] = r["mask"]
@@ -187,7 +191,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value
         for b in batches:
-            keys, sets = [], []
+            keys, sets, marks = [], [], []
             for name, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 for _, _, joined in _paragraphs(text or "")[1]:
                     h1 = int(np.uint64(xxhash.xxh128_intdigest(joined) & (2**64 - 1)).view(np.int64))
@@ -195,11 +199,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     if int(table[bit >> 6]) >> (bit & 63) & 1:
                         keys.append((h1, name))
                         sets.append(np.unique(_shingles(_hashes(joined.split())).view(np.int64)))
-            columns = [pa.array([k for k, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "least", "shingles"])
+                        marks.append(_marks(sets[-1]))
+            columns = [pa.array([k for k, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["h1", "least", "shingles", "marks"])
 
-    found = _whole(docs).mapInArrow(run, "h1 long, least long, shingles array<long>")
-    return found.join(wanted, ["h1", "least"], "left_semi").dropDuplicates(["h1"]).select("h1", "shingles")
+    found = _whole(docs).mapInArrow(run, "h1 long, least long, shingles array<long>, marks array<long>")
+    return found.join(wanted, ["h1", "least"], "left_semi").dropDuplicates(["h1"]).select("h1", "shingles", "marks")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -210,38 +215,89 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.where(common >= similar * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
 
 
+def _fine_bands(sets: DataFrame, similar: float) -> DataFrame:
+    """(key, h1): the shingle sets under FINE_ROWS rows a band, which hardly any pair of lesser similarity shares."""
+    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - similar**FINE_ROWS))
+    rng = np.random.default_rng(12)
+    factor = rng.integers(0, 1 << 63, (bands, FINE_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for x in b["shingles"]:
+                values = x.values.to_numpy().view(np.uint64)
+                least = np.stack([_mix(f * values).min(axis=1) for f in factor])
+                key = np.arange(bands, dtype=np.uint64) * _ODD
+                for r in range(FINE_ROWS):
+                    key = _mix(key + least[:, r])
+                keys.append(key.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), b["h1"].take(pa.array(np.repeat(np.arange(len(keys)), bands)))], ["key", "h1"])
+
+    return sets.mapInArrow(run, "key long, h1 long")
+
+
+def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their bucket's size, pairs of each member with its bucket's chosen ones): buckets of at least two."""
+    shuffled = [F.xxhash64("h1", F.lit(i)) for i in range(2)]
+    chosen = [F.min("h1").alias("r0"), F.max("h1").alias("r1"), *[F.min_by("h1", x).alias(f"r{i + 2}") for i, x in enumerate(shuffled)]]
+    buckets, _ = stored(rows.groupBy("key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("r0 <> r1"), "buckets")
+    members, _ = stored(rows.join(buckets, "key"), "bucket-members")
+    star = members.select("h1", F.explode(F.array("r0", "r1", "r2", "r3")).alias("r")).where("h1 <> r")
+    star, _ = stored(star.select(F.least("h1", "r").alias("u"), F.greatest("h1", "r").alias("v")).distinct(), "star-pairs")
+    return members.select("key", "h1", "n"), star
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (key, h1, root) of buckets that still hold several components and had pairs that no star compared."""
+    known = members.where("n > 3").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
+    known, _ = stored(known, "bucket-roots")
+    mixed, _ = stored(known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "mixed-buckets")
+    return stored(known.join(mixed, "key", "left_semi"), "mixed-members")[0]
+
+
+def _marks(shingles: np.ndarray) -> np.ndarray:
+    """A bit map of MARKS bits with one bit set for each shingle (some share one), as longs."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[_mix(shingles.view(np.uint64)) % np.uint64(MARKS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _may_be_similar(u: str, v: str, similar: float) -> Column:
+    """False only for pairs that cannot reach the similarity: a mark that one has alone is a shingle that it has alone."""
+    words = range(MARKS // 64)
+    need = (F.col(f"{u}_n") + F.col(f"{v}_n")) * (similar / (1 + similar)) - 1e-6
+    alone = lambda a, b: sum((F.bit_count(F.get(f"{a}_marks", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}_marks", F.lit(i))))) for i in words), F.lit(0))
+    return (F.col(f"{u}_n") - alone(u, v) >= need) & (F.col(f"{v}_n") - alone(v, u) >= need)
+
+
 def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
     """Components of similar paragraphs: (node, root), both ``h1``. distinct: (h1, h2, least, bands), one row a paragraph.
 
-    Paragraphs that collide in a band form a bucket. In every bucket each member is compared with the
-    smallest and the largest one; the verified links give first components. Only where a bucket of more
-    than three still holds several components, all its pairs across components are compared, too. So no
-    component misses a link that banding found, and a group of near copies costs one row a member and
-    band instead of all its pairs.
+    Paragraphs that collide in a band form a bucket. In every bucket each member is compared with four
+    chosen ones (smallest, largest, two by hash). Members of buckets of more than three go through a
+    second, finer banding, again with chosen ones; the verified links give first components, and what
+    they leave apart in a fine bucket is compared pair by pair across components, first by maps of the shingles that
+    rule out no similar pair. So a group of near
+    copies costs some rows a member instead of all its pairs, and no component misses a link that both
+    bandings find (each with RECALL at the threshold, more above).
     """
     rows, _ = stored(distinct.select("h1", F.explode("bands").alias("key")), "bands")
-    buckets = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    buckets, _ = stored(buckets, "buckets")
-    members, _ = stored(rows.join(buckets, "key"), "bucket-members")
-    order = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    star = members.select(*order("h1", "low")).union(members.select(*order("h1", "high"))).where("u <> v").distinct()
-    star, _ = stored(star, "star-pairs")
+    members, star = _buckets(rows)
     wanted, _ = stored(distinct.select("h1", "least").join(members.select("h1").distinct(), "h1", "left_semi"), "wanted")
     sets, _ = stored(_shingle_sets(docs, wanted), "shingle-sets")
-    links, _ = stored(_similar(star, sets, similar), "star-links")
-    roots, _ = stored(components(links), "star-roots")
-    # what the stars left apart
-    known = members.where("n > 3").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
-    known, _ = stored(known, "bucket-roots")
-    mixed, _ = stored(known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "mixed-buckets")
-    rest, _ = stored(known.join(mixed, "key", "left_semi"), "mixed-members")
-    other = rest.select("key", F.col("h1").alias("v"), F.col("root").alias("v_root"))
-    across = rest.withColumnRenamed("h1", "u").join(other, "key").where("u < v and root <> v_root").select("u", "v").distinct()
-    more, _ = stored(_similar(across, sets, similar), "cross-links")
+    fine, _ = stored(_fine_bands(sets.join(members.where("n > 3").select("h1").distinct(), "h1", "left_semi"), similar), "fine-bands")
+    members, more = _buckets(fine)
+    links, _ = stored(_similar(star.union(more).distinct(), sets, similar), "links")
+    roots, _ = stored(components(links), "roots")
+    rest = _mixed(members, roots)
+    rest = rest.join(sets.select("h1", F.size("shingles").alias("n"), "marks"), "h1")
+    side = lambda x: rest.select("key", F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "marks")])
+    across = side("u").join(side("v"), "key").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may_be_similar("u", "v", similar))
+    across = across.select("u", "v").distinct()
+    more, _ = stored(_similar(across, sets, similar), "links")
     if more.isEmpty():
         return roots
-    found, _ = stored(components(links.union(more)), "paragraph-roots")
-    return found
+    return stored(components(links.union(more)), "roots")[0]
 
 
 def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
