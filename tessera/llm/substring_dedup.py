@@ -21,6 +21,8 @@ SHINGLE, SIMILAR, RECALL, LEAST_WORDS = 5, 0.8, 0.998, 40
 FINE_ROWS = 8
 #: Words of an anchor, and anchors' starts of which one is chosen: any common run of ANCHOR + CHOICE - 1 = 49 words has one.
 ANCHOR, CHOICE = 20, 30
+#: Values that a worker gathers before it hands them on.
+HELD = 1 << 17
 #: Words by which a passage grows to its sentence's ends, at most.
 GROW = 30
 #: Bits of the filter by which a second pass finds the paragraphs to verify.
@@ -145,7 +147,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     left, right = np.where(at - left <= GROW, left, at), np.where(right - at - ANCHOR <= GROW, right, at + ANCHOR)
                     out += [(name, 1, a, e, x, 0, None) for a, e, x in zip(left.tolist(), right.tolist(), g.tolist(), strict=True)]
                     size += len(at) * 6
-                if size > 1 << 20:
+                if size > HELD:
                     yield batch(out)
                     size, out = 0, []
             yield batch(out)
@@ -276,10 +278,10 @@ def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float) -> Dat
     Paragraphs that collide in a band form a bucket. In every bucket each member is compared with four
     chosen ones (smallest, largest, two by hash). Members of buckets of more than three go through a
     second, finer banding, again with chosen ones; the verified links give first components, and what
-    they leave apart in a fine bucket is compared pair by pair across components, first by maps of the shingles that
-    rule out no similar pair. So a group of near
-    copies costs some rows a member instead of all its pairs, and no component misses a link that both
-    bandings find (each with RECALL at the threshold, more above).
+    they leave apart in a fine bucket is compared pair by pair across components, first by maps of the
+    shingles that rule out no similar pair. So a group of near copies costs some rows a member instead
+    of all its pairs, and no component misses a link that both bandings find (each with RECALL at the
+    threshold, more above).
     """
     rows, _ = stored(distinct.select("h1", F.explode("bands").alias("key")), "bands")
     members, star = _buckets(rows)
