@@ -129,6 +129,11 @@ def keep_one(docs: DataFrame, distance: int = 2, segments: int = 2, shingle: int
     """
     prints, known = _classes(docs, distance, segments, shingle)
     stays, _ = stored(known.select("survivor.doc_id", "survivor.digest").distinct(), "simhash-stays")
+    return kept_rows(docs, prints, stays)
+
+
+def kept_rows(docs: DataFrame, prints: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs that stay (doc_id, digest), wholly repeated ones once. prints: (doc_id, digest) of every row."""
     stays = stays.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     same = docs["doc_id"].cast("long").eqNullSafe(stays["_id"]) & (_digest(docs["text"]) == stays["_digest"])
     kept = docs.join(stays, same, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,16 +104,33 @@ def _paragraphs(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
     return words, found
 
 
+def _paragraph_texts(text: str) -> list[str]:
+    return [joined for _, _, joined in _paragraphs(text)[1]]
+
+
 def _sentence_ends(words: list[str]) -> np.ndarray:
     """Word numbers at which a sentence starts, and the number of words."""
     return np.array([0, *(i + 1 for i, w in enumerate(words) if w[-1] in ".!?")] + [len(words)])
 
 
+def _functions(n: int) -> list[tuple[np.uint64, np.uint64]]:
+    """(factor, offset) of n MinHash functions."""
+    rng = np.random.default_rng(11)
+    factor = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return list(zip(factor, rng.integers(0, 1 << 63, n, dtype=np.uint64), strict=True))
+
+
+def _band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys (bands x sets) of the least hashes (functions x sets)."""
+    keys = np.zeros((bands, least.shape[1]), np.uint64)
+    for r in range(rows):
+        keys = _mix(keys + least[r::rows] + np.arange(bands, dtype=np.uint64)[:, None] * _ODD)
+    return keys
+
+
 def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """Per document its paragraphs (kind 0: two hashes, bands) and anchors (kind 1: one hash), by first word and end."""
-    rng = np.random.default_rng(11)
-    factor = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offset = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    functions = _functions(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,10 +148,8 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     # rows of shingles between the paragraphs belong to none: every second slice
                     cuts = np.stack([start, np.minimum(end, len(sh))], axis=1).ravel()
                     cuts = cuts[:-1] if cuts[-1] == len(sh) else cuts
-                    least = np.stack([np.minimum.reduceat(_mix(sh * f + o), cuts)[::2] for f, o in zip(factor, offset, strict=True)])
-                    keys = np.zeros((bands, len(found)), np.uint64)
-                    for r in range(rows):
-                        keys = _mix(keys + least[r::rows] + np.arange(bands, dtype=np.uint64)[:, None] * _ODD)
+                    least = np.stack([np.minimum.reduceat(_mix(sh * f + o), cuts)[::2] for f, o in functions])
+                    keys = _band_keys(least, bands, rows)
                     for i, (a, e, joined) in enumerate(found):
                         two = xxhash.xxh128_intdigest(joined)
                         out.append((name, 0, a, e, two & (2**64 - 1), two >> 64, keys[:, i].view(np.int64)))
@@ -170,8 +185,8 @@ def _bit(h1: int, doc_id: int) -> int:
     return xxhash.xxh64_intdigest(b"%d %d" % (h1, doc_id)) >> (64 - FILTER_BITS)
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, shingles, marks) of the wanted paragraphs (h1, least: a document that has it).
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, pieces: Callable[[str], list[str]]) -> DataFrame:
+    """(h1, shingles, marks) of the wanted paragraphs (h1, least: a document that has it), which ``pieces`` takes from a text.
 
     A second pass over the texts, without a shuffle of them: a filter of fixed size (2 ** FILTER_BITS
     bits, built by an aggregate of at most one row for 64 bits) tells which paragraphs may be wanted;
@@ -195,7 +210,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             keys, sets, marks = [], [], []
             for name, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for _, _, joined in _paragraphs(text or "")[1]:
+                for joined in pieces(text or ""):
                     h1 = int(np.uint64(xxhash.xxh128_intdigest(joined) & (2**64 - 1)).view(np.int64))
                     bit = _bit(h1, name)
                     if int(table[bit >> 6]) >> (bit & 63) & 1:
@@ -272,7 +287,7 @@ def _may_be_similar(u: str, v: str, similar: float) -> Column:
     return (F.col(f"{u}_n") - alone(u, v) >= need) & (F.col(f"{v}_n") - alone(v, u) >= need)
 
 
-def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
+def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float, pieces: Callable[[str], list[str]] = _paragraph_texts) -> DataFrame:
     """Components of similar paragraphs: (node, root), both ``h1``. distinct: (h1, h2, least, bands), one row a paragraph.
 
     Paragraphs that collide in a band form a bucket. In every bucket each member is compared with four
@@ -286,7 +301,7 @@ def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float) -> Dat
     rows, _ = stored(distinct.select("h1", F.explode("bands").alias("key")), "bands")
     members, star = _buckets(rows)
     wanted, _ = stored(distinct.select("h1", "least").join(members.select("h1").distinct(), "h1", "left_semi"), "wanted")
-    sets, _ = stored(_shingle_sets(docs, wanted), "shingle-sets")
+    sets, _ = stored(_shingle_sets(docs, wanted, pieces), "shingle-sets")
     fine, _ = stored(_fine_bands(sets.join(members.where("n > 3").select("h1").distinct(), "h1", "left_semi"), similar), "fine-bands")
     members, more = _buckets(fine)
     links, _ = stored(_similar(star.union(more).distinct(), sets, similar), "links")
