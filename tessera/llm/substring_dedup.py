@@ -23,10 +23,10 @@ FINE_ROWS = 8
 ANCHOR, CHOICE = 20, 30
 #: Values that a worker gathers before it hands them on.
 HELD = 1 << 17
-#: Words by which a passage grows to its sentence's ends, at most.
-GROW = 30
 #: Bits of the filter by which a second pass finds the paragraphs to verify.
 FILTER_BITS = 23
+#: Bits of the filter by which a second pass finds the anchors whose surroundings to compare.
+ANCHOR_FILTER_BITS = 25
 #: Bits of a paragraph's map of shingles, by which most unlike pairs drop out before their sets are fetched.
 MARKS = 1024
 
@@ -108,11 +108,6 @@ def _paragraph_texts(text: str) -> list[str]:
     return [joined for _, _, joined in _paragraphs(text)[1]]
 
 
-def _sentence_ends(words: list[str]) -> np.ndarray:
-    """Word numbers at which a sentence starts, and the number of words."""
-    return np.array([0, *(i + 1 for i, w in enumerate(words) if w[-1] in ".!?")] + [len(words)])
-
-
 def _functions(n: int) -> list[tuple[np.uint64, np.uint64]]:
     """(factor, offset) of n MinHash functions."""
     rng = np.random.default_rng(11)
@@ -156,11 +151,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     size += len(found) * (bands + 6)
                 at, g = anchors(h)
                 if len(at):
-                    ends = _sentence_ends(words)
-                    left = ends[np.searchsorted(ends, at, "right") - 1]
-                    right = ends[np.searchsorted(ends, at + ANCHOR, "left")]
-                    left, right = np.where(at - left <= GROW, left, at), np.where(right - at - ANCHOR <= GROW, right, at + ANCHOR)
-                    out += [(name, 1, a, e, x, 0, None) for a, e, x in zip(left.tolist(), right.tolist(), g.tolist(), strict=True)]
+                    out += [(name, 1, a, a + ANCHOR, x, 0, None) for a, x in zip(at.tolist(), g.tolist(), strict=True)]
                     size += len(at) * 6
                 if size > HELD:
                     yield batch(out)
@@ -224,6 +215,55 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, pieces: Callable[[str], li
     return found.join(wanted, ["h1", "least"], "left_semi").dropDuplicates(["h1"]).select("h1", "shingles", "marks")
 
 
+def _runs_around(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(run, doc_id, first): every run of ANCHOR words (its hash) that starts less than CHOICE words from a met anchor (h1).
+
+    Each start within a common run is that close to one of its anchors, so that these runs make up the
+    common ones whole. A second pass over the texts, like ``_shingle_sets``; what the filter lets
+    through in vain are runs that no other document has.
+    """
+
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _anchor_bits(b["h1"].to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["slot", "mask"])
+
+    slots = met.select("h1").mapInArrow(slots_of, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    table = np.zeros(1 << (ANCHOR_FILTER_BITS - 6), np.int64)
+    table[slots["slot"].to_numpy()] = slots["mask"].to_numpy()
+    shipped = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        for b in batches:
+            size, out = 0, []
+            for name, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                h = _hashes((text or "").lower().split())
+                at, g = anchors(h)
+                bits = _anchor_bits(g)
+                at = at[table[bits >> 6] >> (bits & 63) & 1 == 1]
+                if not len(at):
+                    continue
+                every = _runs(h, ANCHOR)
+                edges = np.zeros(len(every) + 1, np.int64)
+                np.add.at(edges, np.maximum(at - CHOICE + 1, 0), 1)
+                np.add.at(edges, np.minimum(at + CHOICE, len(every)), -1)
+                near = np.flatnonzero(np.cumsum(edges[:-1]))
+                out.append((every[near].view(np.int64), np.full(len(near), name, np.int64), near.astype(np.int32)))
+                size += len(near)
+                if size > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["run", "doc_id", "first"])
+                    size, out = 0, []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["run", "doc_id", "first"])
+
+    return _whole(docs).mapInArrow(run, "run long, doc_id long, first int")
+
+
+def _anchor_bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - ANCHOR_FILTER_BITS)).astype(np.int64)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets have that Jaccard similarity or more."""
     side = lambda x: sets.select(F.col("h1").alias(x), F.col("shingles").alias(f"{x}_set"))
@@ -323,8 +363,8 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Two kinds, united where they overlap and share ``first_doc_id``. Paragraphs (lines) of LEAST_WORDS
     words or more whose sets of 5-word shingles are similar (exact Jaccard, components of such links);
     and exact runs of words within any text: of each neighbourhood one run of ANCHOR words is chosen by
-    its hash, so that every common run of 49 words or more is met; a met run grows to the ends of its
-    sentences. Words are split at white space and compared in lower case; numbers count from 0.
+    its hash, so that every common run of 49 words or more is met; about a met one all runs of ANCHOR
+    words are compared, and those that several documents have are the passage, to the word. Words are split at white space and compared in lower case; numbers count from 0.
 
     ``first_doc_id`` is the smallest doc_id that has the passage; that document has a row, too. What
     repeats in one document only is no repetition; documents without any have no row. Rows with one
@@ -349,24 +389,35 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     near, _ = stored(near, "near-firsts")
     exact = plain.where("least < most").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("least").alias("first_doc_id"))
     firsts, _ = stored(near.unionByName(exact), "paragraph-firsts")
-    met, _ = stored(parts.groupBy("h1").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("most")).where("first_doc_id < most").select("h1", "first_doc_id"), "anchor-firsts")
+    met, _ = stored(parts.groupBy("h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1"), "anchors-met")
+    runs, _ = stored(_runs_around(docs, met), "runs")
+    common, _ = stored(runs.groupBy("run").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("most")).where("first_doc_id < most").select("run", "first_doc_id"), "runs-common")
 
     spans = whole.select("doc_id", "first", "end", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "first_doc_id", "first", "end")
-    spans = spans.unionByName(parts.select("doc_id", "first", "end", "h1").join(met, "h1").select("doc_id", "first_doc_id", "first", "end"))
-    listed = spans.groupBy("doc_id", "first_doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"))
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, first, size = [], [], []
-            for i, found in enumerate(b["spans"].to_pylist()):
-                for a, e in united([(s["first"], s["end"]) for s in found]):
-                    row.append(i)
-                    first.append(a)
-                    size.append(e - a)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["first_doc_id"].take(at), pa.array(first, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "first_doc_id", "first_word", "n_words"])
-
-    return listed.mapInArrow(unite, "doc_id long, first_doc_id long, first_word long, n_words long")
+    spans = spans.unionByName(runs.join(common, "run").select("doc_id", "first_doc_id", "first", (F.col("first") + ANCHOR).alias("end")))
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "first").mapInArrow(_unite, "doc_id long, first_doc_id long, first_word long, n_words long")
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping or touching spans of one document and first document as one; rows in order of these and of the starts."""
+    last = np.empty((0, 4), np.int64)  # the span that a next batch may prolong
+
+    def rows(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, 0], x[:, 1], x[:, 2], x[:, 3] - x[:, 2])], ["doc_id", "first_doc_id", "first_word", "n_words"])
+
+    for b in batches:
+        new = np.stack([b[c].to_numpy().astype(np.int64) for c in ("doc_id", "first_doc_id", "first", "end")], axis=1)
+        x = np.concatenate([last, new])
+        if not len(x):
+            continue
+        other = np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]
+        shift = np.cumsum(other) << 32
+        reach = np.maximum.accumulate(x[:, 3] + shift) - shift  # groups lie 2 ** 32 apart
+        start = np.flatnonzero(other | np.r_[True, x[1:, 2] > reach[:-1]])
+        x = np.stack([x[start, 0], x[start, 1], x[start, 2], reach[np.r_[start[1:], len(x)] - 1]], axis=1)
+        last = x[-1:]
+        yield rows(x[:-1])
+    yield rows(last)
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
