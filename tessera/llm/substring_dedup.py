@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import components, shared_dir, stored
 
-#: Words of a shingle, similarity and recall of the banding, words that a paragraph needs to be compared as a whole.
-SHINGLE, SIMILAR, RECALL, LEAST_WORDS = 5, 0.8, 0.998, 40
+#: Words of a shingle, similarity and recall of the banding. Paragraphs of fewer words than a shingle repeat by equality only.
+SHINGLE, SIMILAR, RECALL = 5, 0.8, 0.998
 #: Rows of a band of the second, finer banding.
 FINE_ROWS = 8
 #: Words of an anchor, and anchors' starts of which one is chosen: any common run of ANCHOR + CHOICE - 1 = 49 words has one.
@@ -93,19 +93,19 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _paragraphs(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
-    """(words of the text in lower case, [(first word, end, paragraph's words joined)]); a paragraph is a line."""
+    """(words of the text in lower case, [(first word, end, paragraph's words joined)]); a paragraph is a line that is not blank."""
     words: list[str] = []
     found = []
     for line in text.lower().split("\n"):
         own = line.split()
-        if len(own) >= LEAST_WORDS:
+        if own:
             found.append((len(words), len(words) + len(own), " ".join(own)))
         words += own
     return words, found
 
 
 def _paragraph_texts(text: str) -> list[str]:
-    return [joined for _, _, joined in _paragraphs(text)[1]]
+    return [joined for a, e, joined in _paragraphs(text)[1] if e - a >= SHINGLE]
 
 
 def _functions(n: int) -> list[tuple[np.uint64, np.uint64]]:
@@ -136,19 +136,20 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if not words:
                     continue
                 h = _hashes(words)
-                if found:
+                long = [(a, e) for a, e, _ in found if e - a >= SHINGLE]
+                own = iter(())
+                if long:
                     sh = _shingles(h)
-                    start = np.array([a for a, _, _ in found])
-                    end = np.array([e for _, e, _ in found]) - SHINGLE + 1
+                    start, end = np.array(long).T
                     # rows of shingles between the paragraphs belong to none: every second slice
-                    cuts = np.stack([start, np.minimum(end, len(sh))], axis=1).ravel()
+                    cuts = np.stack([start, np.minimum(end - SHINGLE + 1, len(sh))], axis=1).ravel()
                     cuts = cuts[:-1] if cuts[-1] == len(sh) else cuts
                     least = np.stack([np.minimum.reduceat(_mix(sh * f + o), cuts)[::2] for f, o in functions])
-                    keys = _band_keys(least, bands, rows)
-                    for i, (a, e, joined) in enumerate(found):
-                        two = xxhash.xxh128_intdigest(joined)
-                        out.append((name, 0, a, e, two & (2**64 - 1), two >> 64, keys[:, i].view(np.int64)))
-                    size += len(found) * (bands + 6)
+                    own = iter(_band_keys(least, bands, rows).T.view(np.int64))
+                for a, e, joined in found:
+                    two = xxhash.xxh128_intdigest(joined)
+                    out.append((name, 0, a, e, two & (2**64 - 1), two >> 64, next(own) if e - a >= SHINGLE else None))
+                size += len(found) * (bands + 6)
                 at, g = anchors(h)
                 if len(at):
                     out += [(name, 1, a, a + ANCHOR, x, 0, None) for a, x in zip(at.tolist(), g.tolist(), strict=True)]
@@ -360,8 +361,9 @@ def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float, pieces
 def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per repeated passage of a document: ``doc_id, first_doc_id, first_word, n_words``.
 
-    Two kinds, united where they overlap and share ``first_doc_id``. Paragraphs (lines) of LEAST_WORDS
-    words or more whose sets of 5-word shingles are similar (exact Jaccard, components of such links);
+    Two kinds, united where they overlap and share ``first_doc_id``. Paragraphs (lines that are not
+    blank) that are equal or whose sets of 5-word shingles are similar (exact Jaccard, components of
+    such links; under five words only equality counts);
     and exact runs of words within any text: of each neighbourhood one run of ANCHOR words is chosen by
     its hash, so that every common run of 49 words or more is met; about a met one all runs of ANCHOR
     words are compared, and those that several documents have are the passage, to the word. Words are split at white space and compared in lower case; numbers count from 0.
@@ -381,7 +383,7 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     flat = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(bands)]
     distinct = whole.select("doc_id", "h1", "h2", *flat).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(bands)])
     distinct, _ = stored(distinct.select("h1", "h2", "least", "most", F.array(*[f"b{i}" for i in range(bands)]).alias("bands")), "paragraphs")
-    roots = near_paragraphs(docs, distinct, similar).withColumnRenamed("node", "h1")
+    roots = near_paragraphs(docs, distinct.where("bands[0] is not null"), similar).withColumnRenamed("node", "h1")
     plain = distinct.select("h1", "h2", "least", "most")
     placed, _ = stored(plain.join(roots, "h1").select("h1", "h2", "root", "least", "most"), "near-paragraphs")
     classes, _ = stored(placed.groupBy("root").agg(F.min("least").alias("class_least"), F.max("most").alias("class_most")).where("class_least < class_most"), "near-classes")

@@ -27,3 +27,18 @@ def test_common_runs_are_cut_whole_and_exactly(spark, prose):
     left = {r["doc_id"]: " ".join(r["text"].split()) for r in substring_dedup.remove_passages(docs).collect()}
     assert left == expected
     assert sum(len(t.split()) for t in left.values()) < sum(len(t.split()) for t in texts) - 23 * 50
+
+
+def test_short_paragraphs(spark, prose):
+    line = prose(12, 990)
+    edited = " ".join([*line.split()[:-1], "changed"])  # 7 of 9 shingles in common with it: 0.78
+    lines = [" ".join(f"{w}{k}" for w in prose(30, 970 + k).split()) for k in range(4)]
+    near = [" ".join([*x.split()[:-1], "changed"]) for x in lines]  # 25 of 27 shingles
+    texts = {0: "\n".join([prose(50, 980), *lines, line, "two words"]), 1: "\n".join([prose(50, 981), *near]), 2: f"{prose(50, 982)}\n{line}\n\nTwo  words", 3: f"{prose(50, 983)}\n{edited}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].strip() for r in substring_dedup.remove_passages(docs).collect()}
+    first = lambda i: texts[i].split("\n")[0]
+    assert left[0] == texts[0]
+    assert left[1] == first(1)
+    assert left[2] == first(2)
+    assert left[3] == texts[3]
