@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import drop_path, stored
 
-#: Edit distance up to which a line repeats another, and code points that a line needs to be judged at all.
+#: Edit distance up to which a line repeats another, and code points that a line needs for that.
 DISTANCE, LEAST_CHARS = 2, 20
 #: Bits of the map by which a second scan finds the lines to verify (128 KB).
 SLOTS = 7 << 17
@@ -204,18 +204,19 @@ def near_pairs(members: DataFrame, letters: DataFrame, distance: int) -> DataFra
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """Lines to remove: ``doc_id, line_no, exact`` (whether an equal line came earlier, else one within the distance).
 
     A line repeats another if it comes later, by (doc_id, line number from 0), and differs in at most
     ``distance`` edits of code points, outer white space aside. Lines of under ``least_chars`` code
-    points are left alone. Of a chain of near lines all but the first go.
+    points repeat equal ones only, those of under ``least_exact`` (``least_chars``, if not given) are
+    left alone; blank lines always are. Of a chain of near lines all but the first go.
 
     Equal lines collapse before the join (a partial aggregate by two 64-bit hashes), so a line that a
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
-    lines = _lines(docs, least_chars)
-    made = _keys("line", "size", distance)
+    lines = _lines(docs, max(1, least_chars if least_exact is None else min(least_exact, least_chars)))
+    made = [(role, F.when(F.col("size") >= least_chars, key)) for role, key in _keys("line", "size", distance)]
     names = [f"key_{i}" for i in range(len(made))]
     keyed = lines.select("h1", "h2", _place().alias("place"), *[c.alias(n) for n, (_, c) in zip(names, made, strict=True)])
     known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
@@ -242,7 +243,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int =
     return found.select("doc_id", "line_no", (F.col("place") > F.col("first")).alias("exact"))
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """All rows and columns of docs, ``text`` without its repeated lines, with ``n_lines``, ``n_exact`` and ``n_near`` (lines removed).
 
     See ``repeated_lines``. What stays keeps its order and its line breaks. Null text stays null (no
@@ -250,7 +251,7 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LE
     one order; a null doc_id comes last. An empty table gives no rows. Columns of docs that bear one of
     the new names are replaced.
     """
-    gone = repeated_lines(docs, distance, least_chars).groupBy("doc_id").agg(
+    gone = repeated_lines(docs, distance, least_chars, least_exact).groupBy("doc_id").agg(
         F.collect_set("line_no").alias("_gone"), F.count(F.when(F.col("exact"), 1)).alias("_exact")
     )
     gone, _ = stored(gone.withColumnRenamed("doc_id", "_of"), "lines-gone")

@@ -28,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_exact=1).drop("lang", "source", "n_chars")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
