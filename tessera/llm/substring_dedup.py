@@ -262,7 +262,8 @@ def _runs_around(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _anchor_bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - ANCHOR_FILTER_BITS)).astype(np.int64)
+    """Slots in the filter; anchors are the smallest of their neighbours, so their bits are mixed once more."""
+    return (_mix(hashes) >> np.uint64(64 - ANCHOR_FILTER_BITS)).astype(np.int64)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
