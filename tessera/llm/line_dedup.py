@@ -216,12 +216,12 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int =
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
     lines = _lines(docs, max(1, least_chars if least_exact is None else min(least_exact, least_chars)))
-    made = [(role, F.when(F.col("size") >= least_chars, key)) for role, key in _keys("line", "size", distance)]
+    made = _keys("line", "size", distance)
     names = [f"key_{i}" for i in range(len(made))]
-    keyed = lines.select("h1", "h2", _place().alias("place"), *[c.alias(n) for n, (_, c) in zip(names, made, strict=True)])
-    known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
+    keyed = lines.select("h1", "h2", _place().alias("place"), (F.col("size") >= least_chars).alias("long"), *[c.alias(n) for n, (_, c) in zip(names, made, strict=True)])
+    known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("long").alias("long"), *[F.first(c).alias(c) for c in names])
     known, large = stored(known, "lines")
-    members, _ = stored(near_members(known, [role for role, _ in made]), "line-members")
+    members, _ = stored(near_members(known.where("long"), [role for role, _ in made]), "line-members")
     places, _ = stored(known.select("h1", "h2", "place", "n"), "line-places")
     drop_path(docs.sparkSession, large)
 
