@@ -1,28 +1,40 @@
-"""What several operators need: shared storage, lineage cuts and connected components."""
+"""What several operators need: shared storage, lineage cuts, keys of rows and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
+#: Spark's setting by which a query's shuffle files go when it has ended, and not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys of rows from here on are hashes; smaller ones are doc_ids.
+UNNAMED = 1 << 62
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: a cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder of our own is used.
+    Where that is unset and everything runs in one process (``local[n]``), a folder of our own serves
+    until the process ends; on a cluster it is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir = "file://" + folder
     return _own_dir
 
 
@@ -33,15 +45,63 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` into the shared folder and read it again: (frame, path).
+def stored(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` into the shared folder and read it again: (frame, path). by: a column to lay the files out by.
 
-    This cuts the lineage, survives lost executors, and what has several readers is computed once.
+    This cuts the lineage, survives lost executors, and what has several readers is computed once. The
+    shuffle files of the query go as soon as the table is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    schema = df.schema if by is None else df.select(*[c for c in df.columns if c != by], by).schema
+    return spark.read.schema(schema).parquet(path), path
+
+
+@dataclass
+class Scratch:
+    """Written tables of one computation, which go when they are no longer needed."""
+
+    spark: SparkSession
+    paths: dict[str, str] = field(default_factory=dict)
+
+    def write(self, label: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        frame, self.paths[label] = stored(df, label, by)
+        return frame
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            drop_path(self.spark, self.paths.pop(label))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key long, text string, row struct of all columns of docs): rows with a key of their own, whatever their doc_id.
+
+    The key is the doc_id where it is one (not null, under 2^62, and all rows that bear it have one
+    text). Other rows get 2^62 and the upper 62 bits of a hash of doc_id and text, so that they come
+    after all others, and different rows are different documents. Rows that repeat doc_id and text
+    share a key. Columns of docs lie in ``row``, so that no name of theirs clashes.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), row.alias("row"))
+    digest = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    hashed = F.shiftrightunsigned(digest, 2).bitwiseOR(F.lit(UNNAMED))
+    proper = F.col("doc_id") < UNNAMED
+    repeated = rows.where(proper).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated, path = stored(repeated, "repeated-ids")
+    if not repeated.isEmpty():
+        several = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+        several, _ = stored(several.select(F.col("doc_id").alias("_several")), "several-texts")
+        rows = rows.join(several, F.col("doc_id") == F.col("_several"), "left")
+        proper = proper & F.col("_several").isNull()
+    drop_path(docs.sparkSession, path)
+    return rows.select(F.when(proper, F.col("doc_id")).otherwise(hashed).alias("key"), "text", "row")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +170,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     """(text, y): at most ``most`` labelled documents of each class, by a hash of doc_id.
 
     Ids without a label, with labels that contradict one another, or repeated rows of one text count
-    once or not at all. The hash threshold is chosen from the class's count, so that no sort of all
+    once or not at all; of several texts under one id that with the least hash is taken. The hash threshold is chosen from the class's count, so that no sort of all
     rows is needed; the final limit holds the bound whatever the hash does.
     """
     given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("_other")).where(F.col("y") == F.col("_other")).select("doc_id", "y")
@@ -122,4 +182,5 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
         part = given.where((F.col("y") == y) & dealt).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
     whole = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return whole.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "y")
+    met = whole.join(F.broadcast(picked), "doc_id").withColumn("_h", F.xxhash64("text"))
+    return met.groupBy("doc_id").agg(F.min_by("text", F.struct("_h", "text")).alias("text"), F.first("y").alias("y")).select("text", "y")

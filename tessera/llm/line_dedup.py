@@ -5,63 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import drop_path, stored
+from tessera.llm._shared import Scratch, keyed
 
 #: Edit distance up to which a line repeats another, and code points that a line needs for that.
 DISTANCE, LEAST_CHARS = 2, 20
-#: Bits of the map by which a second scan finds the lines to verify (128 KB).
-SLOTS = 7 << 17
+#: Bits for each wanted line in the map by which a second scan finds them, and lines up to which there is such a map (a word of 64 bits is a row of 16 bytes; beyond, all lines go to the join).
+BITS_EACH, MAPPED = 8, 8_000_000
 #: Letters whose counts tell most pairs of different lines apart before their texts are fetched.
 LETTERS = "etaoinsrhldu"
 
 
-def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def _lines(rows: DataFrame, least_chars: int) -> DataFrame:
+    """(key, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points. rows: (key, text)."""
+    split = rows.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     cut = split.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\f\u000b")))
     sized = cut.withColumn("size", F.length("line")).where(F.col("size") >= least_chars)
     return sized.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
 def _place() -> Column:
-    """Where a line stands: rows without a doc_id come last."""
-    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)").cast("decimal(37,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
+    """Where a line stands, as one number: by key of the row, then by line number."""
+    return F.col("key").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
 
 
-def _segment(size: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line of that size: ``parts`` even segments, the longer ones last."""
-    short, extra = F.floor(size / parts).cast("int"), (size % parts).cast("int")
-    late = parts - extra  # segments before this one are short
-    return 1 + i * short + F.greatest(F.lit(0), F.lit(i) - late), short + F.when(F.lit(i) >= late, 1).otherwise(0)
+def _segment(size: int, i: int, parts: int) -> tuple[int, int]:
+    """Start (from 0) and length of segment i of a line of that size: ``parts`` even segments, the longer ones last."""
+    short, extra = divmod(size, parts)
+    return i * short + max(0, i - (parts - extra)), short + (i >= parts - extra)
 
 
-#: What a key stands for: asking for shorter lines, stored, asking for lines as long. Two low bits of a tagged id.
-_SHORTER, _STORED, _AS_LONG = 0, 1, 2
+def _spots(residue: int, distance: int) -> list[tuple[int, int, int]]:
+    """(segment, start, length) of all substrings that stand for a line of size n * (distance + 1) + residue, for n = 0.
 
-
-def _keys(line: str, size: str, distance: int) -> list[tuple[int, Column]]:
-    """(role, key): keys under which a line is stored (one a segment), and by which it asks for lines as long or up to ``distance`` shorter.
-
-    If two lines are within the distance, one of distance + 1 segments of the shorter one stands
-    unchanged in the longer one. Segment i can have moved by at most i (edits before it, counted from
-    the left) and, from the right, by the difference in length and the edits after it: both bounds
-    leave about distance^2 / 2 places for each length. The key holds segment number and length. An
-    unmoved segment of a line as long has the stored key itself, so there is no asking for it.
+    Each start grows by the segment's number and each length by one, if n does. If two lines are within
+    the distance, one of distance + 1 segments of the shorter one stands unchanged in the longer one.
+    Segment i can have moved by at most i (edits before it, counted from the left) and, from the right,
+    by the difference in length and the edits after it: both bounds leave about distance^2 / 2 places
+    for each length. A line has the segments of its own size and, at all these places, those that lines
+    of up to ``distance`` fewer code points may have in common with it; most are the same substring.
     """
     parts = distance + 1
-    out = []
+    found = set()
     for shorter in range(distance + 1):
-        length = F.col(size) - shorter
         for i in range(parts):
-            start, width = _segment(length, i, parts)
+            start, width = _segment(residue - shorter + 9 * parts, i, parts)
             for shift in range(max(-i, shorter - (distance - i)), min(i, shorter + (distance - i)) + 1):
-                key = F.xxhash64(F.substring(F.col(line), start + shift, width), F.lit(i), length)
-                if not shorter and not shift:
-                    out.append((_STORED, key))
-                else:  # a place before the line's start or past its end holds no such segment
-                    out.append((_SHORTER if shorter else _AS_LONG, F.when((start + shift >= 1) & (start + shift + width <= F.col(size) + 1), key)))
-    return out
+                found.add((i, start + shift - 9 * i, width - 9))
+    return sorted(found)
+
+
+def _keys(line: str, size: str, distance: int) -> Column:
+    """Array of the keys of a line: hashes of segment number and substring (see ``_spots``), as many for each size of one residue."""
+    parts = distance + 1
+    n = F.floor(F.col(size) / parts).cast("int")
+    arrays = None
+    for residue in range(parts):
+        keys = []
+        for i, start, width in _spots(residue, distance):
+            key = F.xxhash64(F.substring(F.col(line), n * i + (start + 1), n + width), F.lit(i))
+            inside = (n * i + start >= 0) & (n + width > 0) & (n * i + start + n + width <= F.col(size))
+            keys.append(F.when(inside, key))
+        this = F.array(*keys)
+        arrays = F.when(F.col(size) % parts == residue, this) if arrays is None else arrays.when(F.col(size) % parts == residue, this)
+    return arrays
+
+
+def n_keys(distance: int) -> int:
+    return max(len(_spots(r, distance)) for r in range(distance + 1))
 
 
 def banded_distance(a: Column, b: Column, distance: int) -> Column:
@@ -147,7 +157,7 @@ def _common_start(a: Column, b: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << p) for p in reversed(range(24))]), F.lit(0), grow)
 
 
-def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def _without_common_ends(scratch: Scratch, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cut the common prefix and then the common suffix of two string columns; their edit distance stays.
 
     Each cut is written out, or else the optimizer would inline it into every use of the shorter text.
@@ -156,113 +166,118 @@ def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
         x, y = (F.reverse(a), F.reverse(b)) if flip else (F.col(a), F.col(b))
         # few bytes, much work: spread by rows, not by size
         pairs = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
-        pairs, _ = stored(pairs.withColumn("_n", _common_start(x, y)), "line-compared")
+        pairs = scratch.write(f"line-compared-{flip}", pairs.withColumn("_n", _common_start(x, y)))
         start = F.lit(1) if flip else F.col("_n") + 1
         pairs = pairs.withColumn(a, F.substring(F.col(a), start, F.length(a) - F.col("_n"))).withColumn(b, F.substring(F.col(b), start, F.length(b) - F.col("_n"))).drop("_n")
     return pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
 
 
-def _may_hold(wanted: DataFrame, column: str) -> Column:
-    """Whether a hash may be among the wanted ones: a map of SLOTS bits, whatever their number, that spares most other rows the shuffle."""
-    slot = F.pmod(F.col(column), F.lit(SLOTS)).cast("int")
-    table = bytearray(SLOTS // 7)  # seven bits a byte, so that each is an ASCII character
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 56))
-    for r in wanted.groupBy(F.floor(slot / 56).alias("at")).agg(F.bit_or(mark).alias("marks")).collect():
-        for k in range(8):
-            table[8 * r["at"] + k] = r["marks"] >> (7 * k) & 127
-    byte = F.ascii(F.substring(F.lit(bytes(table)), F.floor(slot / 7).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.call_function("shiftright", byte, slot % 7).bitwiseAND(F.lit(1)) == 1
-
-
-def _id(h1: Column) -> Column:
-    """A line's hash without the bits that hold a role; lines that share it are told apart by their texts."""
-    return h1.bitwiseAND(F.lit(-4).cast("long"))
-
+def _those_that_may_be(lines: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The lines whose hash may be among the wanted ones, to spare most others the shuffle.
 
-def near_members(known: DataFrame, roles: list[int]) -> DataFrame:
-    """(key, id, role) of the keys that one line stores and another has, too. known: distinct lines, ``h1`` and ``key_0..``, with their roles.
-
-    One shuffle by key serves both the count of each key and the choice of its rows; nearly all keys
-    belong to one line and end here.
+    A map of BITS_EACH bits a wanted hash is built by an aggregate and broadcast as rows of 64 bits;
+    with more than MAPPED wanted ones the lines stay as they are and the join that follows does it all.
+    """
+    n = wanted.count()
+    if n > MAPPED:
+        return lines
+    words = max(1, n * BITS_EACH // 64)
+    spread = F.xxhash64(F.col(column), F.lit(7))
+    word, bit = F.pmod(F.shiftrightunsigned(spread, 6), F.lit(words)), spread.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(mark).alias("_marks"))
+    met = lines.withColumn("_at", word).join(F.broadcast(table), F.col("_at") == F.col("_word"))
+    return met.where(F.getbit("_marks", bit) == 1).drop("_at", "_word", "_marks")
+
+
+def near_members(known: DataFrame, names: list[str]) -> DataFrame:
+    """(key, id) of the keys that two lines have. known: distinct lines, ``h1`` and the keys under these names.
+
+    One shuffle by key serves both the search for shared keys and the choice of their rows; nearly all
+    keys belong to one line and end here.
     """
-    tagged = [F.struct(F.col(f"key_{i}").alias("key"), _id(F.col("h1")).bitwiseOR(F.lit(r).cast("long")).alias("tag")) for i, r in enumerate(roles)]
-    rows = known.select(F.explode(F.array(*tagged)).alias("e")).select("e.key", "e.tag").where("key is not null")
+    rows = known.select(F.col("h1").alias("id"), F.explode(F.array(*names)).alias("key")).where("key is not null")
     rows = rows.repartition("key")
-    role = F.col("tag").bitwiseAND(F.lit(3).cast("long"))
-    shared = rows.groupBy("key").agg(F.count(F.when(role == _STORED, 1)).alias("stored"), F.min(_id(F.col("tag"))).alias("a"), F.max(_id(F.col("tag"))).alias("b")).where("stored > 0 and a <> b").select("key")
-    return rows.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", _id(F.col("tag")).alias("id"), role.cast("int").alias("role"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    return rows.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "id")
 
 
 def near_pairs(members: DataFrame, letters: DataFrame, distance: int) -> DataFrame:
-    """Pairs (u, v), u < v, of ids that share a key and about the letters' counts. letters: (id, letters)."""
+    """Pairs (u, v), u < v, of ids that share a key and about the size and the letters' counts. letters: (id, size, letters)."""
     full = members.join(letters, "id")
-    a = full.select("key", F.col("id").alias("a"), F.col("role").alias("a_role"), F.col("letters").alias("a_letters"))
-    b = full.where(F.col("role") == _STORED).select("key", F.col("id").alias("b"), F.col("letters").alias("b_letters"))
-    # of lines as long one direction is enough
-    met = (F.col("a") != F.col("b")) & ((F.col("a_role") == _SHORTER) | (F.col("a") < F.col("b"))) & (_letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * distance)
-    pairs = a.join(b, "key").where(met)
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
+    side = lambda x: full.select("key", F.col("id").alias(x), F.col("size").alias(f"{x}_size"), F.col("letters").alias(f"{x}_letters"))
+    met = (F.col("u") < F.col("v")) & (F.abs(F.col("u_size") - F.col("v_size")) <= distance) & (_letters_apart(F.col("u_letters"), F.col("v_letters")) <= 2 * distance)
+    return side("u").join(side("v"), "key").where(met).select("u", "v").distinct()
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
-    """Lines to remove: ``doc_id, line_no, exact`` (whether an equal line came earlier, else one within the distance).
 
-    A line repeats another if it comes later, by (doc_id, line number from 0), and differs in at most
-    ``distance`` edits of code points, outer white space aside. Lines of under ``least_chars`` code
-    points repeat equal ones only, those of under ``least_exact`` (``least_chars``, if not given) are
-    left alone; blank lines always are. Of a chain of near lines all but the first go.
+def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int, least_exact: int | None) -> DataFrame:
+    """(key, line_no, exact) of the lines to remove from rows (key, text); see ``dedup_lines``.
 
     Equal lines collapse before the join (a partial aggregate by two 64-bit hashes), so a line that a
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
-    lines = _lines(docs, max(1, least_chars if least_exact is None else min(least_exact, least_chars)))
-    made = _keys("line", "size", distance)
-    names = [f"key_{i}" for i in range(len(made))]
-    keyed = lines.select("h1", "h2", _place().alias("place"), (F.col("size") >= least_chars).alias("long"), *[c.alias(n) for n, (_, c) in zip(names, made, strict=True)])
-    known = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("long").alias("long"), *[F.first(c).alias(c) for c in names])
-    known, large = stored(known, "lines")
-    members, _ = stored(near_members(known.where("long"), [role for role, _ in made]), "line-members")
-    places, _ = stored(known.select("h1", "h2", "place", "n"), "line-places")
-    drop_path(docs.sparkSession, large)
-
-    wanted, _ = stored(members.select("id").distinct(), "lines-wanted")
-    with_id = lines.select("h1", "h2", "line", _id(F.col("h1")).alias("id"))
-    texts = with_id.where(_may_hold(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["h1", "h2"]).join(places.select("h1", "h2", "place"), ["h1", "h2"])
-    texts, _ = stored(texts, "line-texts")
-    letters, _ = stored(texts.select("id", letter_counts(F.col("line")).alias("letters")), "line-letters")
-    pairs, _ = stored(near_pairs(members, letters, distance), "line-pairs")
+    lines = _lines(rows, max(1, least_chars if least_exact is None else min(least_exact, least_chars)))
+    keys = F.when(F.col("size") >= least_chars, _keys("line", "size", distance))
+    every = scratch.write("lines", lines.select("key", "line_no", "h1", "h2", keys.alias("keys")))
+    names = [f"key_{i}" for i in range(n_keys(distance))]
+    flat = every.select("h1", "h2", _place().alias("place"), *[F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    known = flat.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
+    known = scratch.write("lines-known", known)
+    members = scratch.write("line-members", near_members(known, names))
+    wanted = scratch.write("lines-wanted", members.select("id").distinct())
+    places = scratch.write("line-places", known.select("h1", "h2", "place", "n").join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi"))
+    repeats = scratch.write("lines-repeated", known.where("n > 1").select("h1", "h2", "place"))
+    scratch.drop("lines-known")
+
+    with_id = lines.select("h1", "h2", "line", "size", F.col("h1").alias("id"))
+    texts = _those_that_may_be(with_id, wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["h1", "h2"]).join(places, ["h1", "h2"])
+    texts = scratch.write("line-texts", texts)
+    letters = scratch.write("line-letters", texts.select("id", "size", letter_counts(F.col("line")).alias("letters")))
+    pairs = scratch.write("line-pairs", near_pairs(members, letters, distance))
     side = lambda x: texts.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("h1", "h2", "line", "place")])
     both = pairs.join(side("u"), "u").join(side("v"), "v").where("u_line <> v_line")
-    both = _without_common_ends(both, "u_line", "v_line")
+    both = _without_common_ends(scratch, both, "u_line", "v_line")
     close = both.where(banded_distance(F.col("u_line"), F.col("v_line"), distance) <= distance)
-    later = close.select(*[F.when(F.col("u_place") > F.col("v_place"), F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(c) for c in ("h1", "h2")]).distinct()
-    later, _ = stored(later.withColumn("near", F.lit(True)), "line-later")
-    judged = places.join(later, ["h1", "h2"], "left").where("n > 1 or near")
-    judged, _ = stored(judged.select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "line-judged")
-    found = lines.select("doc_id", "line_no", "h1", "h2", _place().alias("place")).join(judged, ["h1", "h2"]).where("near or place > first")
-    return found.select("doc_id", "line_no", (F.col("place") > F.col("first")).alias("exact"))
+    later = close.select(*[F.when(F.col("u_place") > F.col("v_place"), F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(c) for c in ("h1", "h2", "place")]).distinct()
+    near = scratch.write("line-later", later.withColumn("near", F.lit(True)))
+    judged = repeats.join(near.select("h1", "h2", "near"), ["h1", "h2"], "left").select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = judged.unionByName(near.join(repeats, ["h1", "h2"], "left_anti").select("h1", "h2", "place", "near"))
+    judged = scratch.write("line-judged", judged.withColumnRenamed("place", "first"))
+    found = every.select("key", "line_no", "h1", "h2", _place().alias("place")).join(judged, ["h1", "h2"]).where("near or place > first")
+    return found.select("key", "line_no", (F.col("place") > F.col("first")).alias("exact"))
 
 
 def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """All rows and columns of docs, ``text`` without its repeated lines, with ``n_lines``, ``n_exact`` and ``n_near`` (lines removed).
 
-    See ``repeated_lines``. What stays keeps its order and its line breaks. Null text stays null (no
-    lines); a text may become empty. Rows with one doc_id count as one document, whose lines stand in
-    one order; a null doc_id comes last. An empty table gives no rows. Columns of docs that bear one of
-    the new names are replaced.
+    A line repeats another if it comes later, by (doc_id, line number), and differs in at most
+    ``distance`` edits of code points, outer white space aside. Lines of under ``least_chars`` code
+    points repeat equal ones only, those of under ``least_exact`` (``least_chars``, if not given) are
+    left alone; blank lines always are. Of a chain of near lines all but the first go.
+
+    What stays keeps its order and its line breaks. Null text stays null (no lines); a text may become
+    empty. Every row is a document of its own: rows with a null doc_id, and those of different texts
+    under one doc_id, come after all others, in an order by hash (see ``_shared.keyed``); rows that
+    repeat doc_id and text count as one document, so neither loses lines to the other. An empty table
+    gives no rows. Columns of docs that bear one of the three new names are replaced; no other name clashes.
     """
-    gone = repeated_lines(docs, distance, least_chars, least_exact).groupBy("doc_id").agg(
-        F.collect_set("line_no").alias("_gone"), F.count(F.when(F.col("exact"), 1)).alias("_exact")
+    rows = keyed(docs)
+    scratch = Scratch(docs.sparkSession)
+    gone = _repeated(scratch, rows.select("key", "text"), distance, least_chars, least_exact).distinct().groupBy("key").agg(
+        F.collect_set("line_no").alias("gone"), F.count(F.when(F.col("exact"), 1)).alias("exact")
     )
-    gone, _ = stored(gone.withColumnRenamed("doc_id", "_of"), "lines-gone")
-    joined = docs.drop("n_lines", "n_exact", "n_near").join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    gone = scratch.write("lines-gone", gone.withColumnRenamed("key", "of"))
+    scratch.drop(*[x for x in scratch.paths if x != "lines-gone"])
+    joined = rows.select("key", "row").join(gone.hint("shuffle_hash"), F.col("key") == F.col("of"), "left")
     # a column of its own, or else the text would be split again for every line
-    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n")))
-    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col("row.text").cast("string"), "\n")))
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get(F.col("lines"), i))
+    text = F.when(F.col("gone").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
+    own = F.col("row.text").cast("string")
     counts = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1),
-        "n_exact": F.coalesce(F.col("_exact"), F.lit(0)).cast("int"),
-        "n_near": F.coalesce(F.size("_gone") - F.col("_exact"), F.lit(0)).cast("int"),
+        "n_lines": F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1),
+        "n_exact": F.coalesce(F.col("exact"), F.lit(0)).cast("int"),
+        "n_near": F.coalesce(F.size("gone") - F.col("exact"), F.lit(0)).cast("int"),
     }
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+    kept = [c for c in docs.columns if c.lower() not in counts]
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept], *[v.alias(k) for k, v in counts.items()])
