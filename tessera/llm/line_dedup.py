@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +14,17 @@ from tessera.llm._shared import Scratch, keyed
 DISTANCE, LEAST_CHARS = 2, 20
 #: Bits for each wanted line in the map by which a second scan finds them, and lines up to which there is such a map (a word of 64 bits is a row of 16 bytes; beyond, all lines go to the join).
 BITS_EACH, MAPPED = 8, 8_000_000
-#: Letters whose counts tell most pairs of different lines apart before their texts are fetched.
-LETTERS = "etaoinsrhldu"
+#: Characters whose counts tell most pairs of different lines apart before their texts are fetched, twelve to a long.
+LETTERS = ("etaoinsrhldu", "cmfwgypbvk .")
 
 
 def _lines(rows: DataFrame, least_chars: int) -> DataFrame:
     """(key, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points. rows: (key, text)."""
     split = rows.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    cut = split.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\f\u000b")))
+    # blanks are cut fast, the other white space only where there is any
+    cut, others = split.withColumn("line", F.trim("line")), ["\t", "\r", "\f", "\u000b"]
+    left = reduce(or_, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in others])
+    cut = cut.withColumn("line", F.when(left, F.trim(F.col("line"), F.lit(" \t\r\f\u000b"))).otherwise(F.col("line")))
     sized = cut.withColumn("size", F.length("line")).where(F.col("size") >= least_chars)
     return sized.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
@@ -129,20 +135,25 @@ def banded_distance(a: Column, b: Column, distance: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS stands in the line, modulo 32, five bits each in one long."""
-    out = F.lit(0).cast("long")
-    for i, letter in enumerate(LETTERS):
-        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(32)).cast("long"), 5 * i))
-    return out
+    """How often each of LETTERS stands in the line, modulo 32, five bits each, in an array of longs."""
+    out = []
+    for letters in LETTERS:
+        one = F.lit(0).cast("long")
+        for i, letter in enumerate(letters):
+            n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+            one = one.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(32)).cast("long"), 5 * i))
+        out.append(one)
+    return F.array(*out)
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of by how much the letters' counts differ; an edit changes two of them by one, at most."""
     out = F.lit(0)
-    for i in range(len(LETTERS)):
-        apart = F.abs(F.shiftrightunsigned(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * i).bitwiseAND(F.lit(31)))
-        out = out + F.least(apart, 32 - apart)
+    for k, letters in enumerate(LETTERS):
+        for i in range(len(letters)):
+            five = lambda x: F.shiftrightunsigned(F.get(x, F.lit(k)), 5 * i).bitwiseAND(F.lit(31))  # noqa: B023, E731
+            apart = F.abs(five(a) - five(b))
+            out = out + F.least(apart, 32 - apart)
     return out
 
 
