@@ -18,14 +18,22 @@ BITS_EACH, MAPPED = 8, 8_000_000
 LETTERS = ("etaoinsrhldu", "cmfwgypbvk .")
 
 
-def _lines(rows: DataFrame, least_chars: int) -> DataFrame:
-    """(key, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points. rows: (key, text)."""
-    split = rows.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    # blanks are cut fast, the other white space only where there is any
-    cut, others = split.withColumn("line", F.trim("line")), ["\t", "\r", "\f", "\u000b"]
-    left = reduce(or_, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in others])
-    cut = cut.withColumn("line", F.when(left, F.trim(F.col("line"), F.lit(" \t\r\f\u000b"))).otherwise(F.col("line")))
-    sized = cut.withColumn("size", F.length("line")).where(F.col("size") >= least_chars)
+def _lines(rows: DataFrame, least_chars: int, units: bool = False) -> DataFrame:
+    """(key, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points. rows: (key, text).
+
+    units: with ``wide``, the line in four bytes a code point, so that each is reached at once.
+    """
+    others = ["\t", "\r", "\f", "\u000b"]
+
+    def cut(x: Column) -> Column:  # blanks go fast, the other white space only where there is any
+        left = reduce(or_, [F.startswith(x, F.lit(c)) | F.endswith(x, F.lit(c)) for c in others])
+        return F.when(left, F.trim(x, F.lit(" \t\r\f\u000b"))).otherwise(x)
+
+    trimmed = F.transform(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), cut)
+    # line and size come out of the generator as they are; as expressions they would be worked out anew for every use
+    wide = lambda x: [F.encode(x, "UTF-32").alias("wide")] * units
+    each = rows.select("key", F.posexplode(F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.length(x).alias("size"), *wide(x)))).alias("line_no", "e"))
+    sized = each.select("key", "line_no", "e.*").where(F.col("size") >= least_chars)
     return sized.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
@@ -60,20 +68,18 @@ def _spots(residue: int, distance: int) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _keys(line: str, size: str, distance: int) -> Column:
-    """Array of the keys of a line: hashes of segment number and substring (see ``_spots``), as many for each size of one residue."""
+def _keys(size: str, wide: str, distance: int) -> list[Column]:
+    """The keys of a line: hashes of segment number and substring (see ``_spots``); null where there is no such place."""
     parts = distance + 1
-    n = F.floor(F.col(size) / parts).cast("int")
-    arrays = None
-    for residue in range(parts):
-        keys = []
-        for i, start, width in _spots(residue, distance):
-            key = F.xxhash64(F.substring(F.col(line), n * i + (start + 1), n + width), F.lit(i))
-            inside = (n * i + start >= 0) & (n + width > 0) & (n * i + start + n + width <= F.col(size))
-            keys.append(F.when(inside, key))
-        this = F.array(*keys)
-        arrays = F.when(F.col(size) % parts == residue, this) if arrays is None else arrays.when(F.col(size) % parts == residue, this)
-    return arrays
+    n, spots = F.floor(F.col(size) / parts).cast("int"), [_spots(r, distance) for r in range(parts)]
+    out = []
+    for k in range(n_keys(distance)):
+        own = [s[k] if k < len(s) else (-1, -1, 0) for s in spots]
+        i, start, width = (F.get(F.array(*[F.lit(x) for x in values]), F.col(size) % parts) for values in zip(*own, strict=True))
+        at, long = n * i + start, n + width
+        inside = (i >= 0) & (at >= 0) & (long > 0) & (at + long <= F.col(size))
+        out.append(F.when(inside, F.xxhash64(F.substring(F.col(wide), 4 * at + 1, 4 * long), i)))
+    return out
 
 
 def n_keys(distance: int) -> int:
@@ -188,6 +194,7 @@ def _those_that_may_be(lines: DataFrame, wanted: DataFrame, column: str) -> Data
 
     A map of BITS_EACH bits a wanted hash is built by an aggregate and broadcast as rows of 64 bits;
     with more than MAPPED wanted ones the lines stay as they are and the join that follows does it all.
+    That must be an inner one, for the optimizer would move a semi-join below this.
     """
     n = wanted.count()
     if n > MAPPED:
@@ -227,11 +234,11 @@ def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int
     Equal lines collapse before the join (a partial aggregate by two 64-bit hashes), so a line that a
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
-    lines = _lines(rows, max(1, least_chars if least_exact is None else min(least_exact, least_chars)))
-    keys = F.when(F.col("size") >= least_chars, _keys("line", "size", distance))
-    every = scratch.write("lines", lines.select("key", "line_no", "h1", "h2", keys.alias("keys")))
-    names = [f"key_{i}" for i in range(n_keys(distance))]
-    flat = every.select("h1", "h2", _place().alias("place"), *[F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    least = max(1, least_chars if least_exact is None else min(least_exact, least_chars))
+    names, long = [f"key_{i}" for i in range(n_keys(distance))], F.col("size") >= least_chars
+    keys = [F.when(long, k).alias(c) for c, k in zip(names, _keys("size", "wide", distance), strict=True)]
+    every = scratch.write("lines", _lines(rows, least, units=True).select("key", "line_no", "h1", "h2", *keys))
+    flat = every.select("h1", "h2", _place().alias("place"), *names)
     known = flat.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
     known = scratch.write("lines-known", known)
     members = scratch.write("line-members", near_members(known, names))
@@ -240,8 +247,8 @@ def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int
     repeats = scratch.write("lines-repeated", known.where("n > 1").select("h1", "h2", "place"))
     scratch.drop("lines-known")
 
-    with_id = lines.select("h1", "h2", "line", "size", F.col("h1").alias("id"))
-    texts = _those_that_may_be(with_id, wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["h1", "h2"]).join(places, ["h1", "h2"])
+    with_id = _lines(rows, least).select("h1", "h2", "line", "size", F.col("h1").alias("id"))
+    texts = _those_that_may_be(with_id, wanted, "id").join(wanted, "id").dropDuplicates(["h1", "h2"]).join(places, ["h1", "h2"])
     texts = scratch.write("line-texts", texts)
     letters = scratch.write("line-letters", texts.select("id", "size", letter_counts(F.col("line")).alias("letters")))
     pairs = scratch.write("line-pairs", near_pairs(members, letters, distance))
