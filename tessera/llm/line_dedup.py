@@ -265,8 +265,8 @@ def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int
     return found.select("key", "line_no", (F.col("place") > F.col("first")).alias("exact"))
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
-    """All rows and columns of docs, ``text`` without its repeated lines, with ``n_lines``, ``n_exact`` and ``n_near`` (lines removed).
+def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, least_exact: int | None = None, counts: bool = True, drop_emptied: bool = False) -> DataFrame:
+    """All rows and columns of docs, ``text`` without its repeated lines, with ``n_lines``, ``n_exact`` and ``n_near`` (lines removed) if ``counts``.
 
     A line repeats another if it comes later, by (doc_id, line number), and differs in at most
     ``distance`` edits of code points, outer white space aside. Lines of under ``least_chars`` code
@@ -274,7 +274,7 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LE
     left alone; blank lines always are. Of a chain of near lines all but the first go.
 
     What stays keeps its order and its line breaks. Null text stays null (no lines); a text may become
-    empty. Every row is a document of its own: rows with a null doc_id, and those of different texts
+    empty, and its row goes if ``drop_emptied``. Every row is a document of its own: rows with a null doc_id, and those of different texts
     under one doc_id, come after all others, in an order by hash (see ``_shared.keyed``); rows that
     repeat doc_id and text count as one document, so neither loses lines to the other. An empty table
     gives no rows. Columns of docs that bear one of the three new names are replaced; no other name clashes.
@@ -292,10 +292,14 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LE
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get(F.col("lines"), i))
     text = F.when(F.col("gone").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
     own = F.col("row.text").cast("string")
-    counts = {
+    made = {
         "n_lines": F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1),
         "n_exact": F.coalesce(F.col("exact"), F.lit(0)).cast("int"),
         "n_near": F.coalesce(F.size("gone") - F.col("exact"), F.lit(0)).cast("int"),
     }
-    kept = [c for c in docs.columns if c.lower() not in counts]
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept], *[v.alias(k) for k, v in counts.items()])
+    made = made if counts else {}
+    kept = [c for c in docs.columns if c.lower() not in made]
+    joined = joined.withColumn("left", text)
+    if drop_emptied:
+        joined = joined.where(F.col("gone").isNull() | F.col("left").isNull() | (F.trim("left") != ""))
+    return joined.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept], *[v.alias(k) for k, v in made.items()])

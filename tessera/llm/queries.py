@@ -51,8 +51,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.withColumn("removed", F.col("doc_id") > F.col("first_doc_id"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

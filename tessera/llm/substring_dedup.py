@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import components, shared_dir, stored
+from tessera.llm._shared import UNNAMED, Scratch, components, keyed
 
 #: Words of a shingle, similarity and recall of the banding. Paragraphs of fewer words than a shingle repeat by equality only.
 SHINGLE, SIMILAR, RECALL = 5, 0.8, 0.998
@@ -23,16 +23,13 @@ FINE_ROWS = 8
 ANCHOR, CHOICE = 20, 30
 #: Values that a worker gathers before it hands them on.
 HELD = 1 << 17
-#: Bits of the filter by which a second pass finds the paragraphs to verify.
-FILTER_BITS = 23
-#: Bits of the filter by which a second pass finds the anchors whose surroundings to compare.
-ANCHOR_FILTER_BITS = 25
+#: Words to each side of an anchor's first word in which the starts of the runs lie that it stands for.
+REACH = CHOICE - 1
 #: Bits of a paragraph's map of shingles, by which most unlike pairs drop out before their sets are fetched.
 MARKS = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\S+")
-_LAST = (1 << 63) - 1
 
 
 def bands_for(similar: float = SIMILAR, recall: float = RECALL, most: int = 10) -> tuple[int, int]:
@@ -64,24 +61,33 @@ def _shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return _mix(out)
 
 
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A polynomial hash for each run of n words, from differences of prefix sums."""
-    base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-    up, down = np.full(len(h) + 1, base, np.uint64), np.full(len(h) + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
-    return _mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
+class _Sums:
+    """Prefix sums of a text's word hashes, weighted by powers, from which the hash of any stretch of words follows."""
 
+    def __init__(self, h: np.ndarray) -> None:
+        base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+        up, down = np.full(len(h) + 1, base, np.uint64), np.full(len(h) + 1, inverse, np.uint64)
+        up[0] = down[0] = 1
+        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, n: int) -> np.ndarray:
+        """A hash for each run of n words."""
+        return _mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
+
+    def stretches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash for the words from each start up to the end."""
+        return _mix(_mix((self.sums[end] - self.sums[start]) * self.down[start]) + (end - start).astype(np.uint64) * _ODD)
+
+
+def anchors(sums: _Sums) -> tuple[np.ndarray, np.ndarray]:
     """(first words, hashes) of the chosen runs of ANCHOR words: the smallest hash of each CHOICE neighbouring runs (winnowing).
 
     A run that equals the one before (one word over and over) is not chosen again.
     """
-    if len(h) < ANCHOR:
+    if len(sums.sums) <= ANCHOR:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = _runs(h, ANCHOR)
+    g = sums.runs(ANCHOR)
     rank = g.copy()
     rank[1:][g[1:] == g[:-1]] = np.uint64(2**64 - 1)
     if len(g) <= CHOICE:
@@ -104,10 +110,6 @@ def _paragraphs(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
     return words, found
 
 
-def _paragraph_texts(text: str) -> list[str]:
-    return [joined for a, e, joined in _paragraphs(text)[1] if e - a >= SHINGLE]
-
-
 def _functions(n: int) -> list[tuple[np.uint64, np.uint64]]:
     """(factor, offset) of n MinHash functions."""
     rng = np.random.default_rng(11)
@@ -123,14 +125,18 @@ def _band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Per document its paragraphs (kind 0: two hashes, bands) and anchors (kind 1: one hash), by first word and end."""
-    functions = _functions(bands * rows)
+def _units(rows: DataFrame, bands: int, size: int) -> DataFrame:
+    """Per row (key, text) its paragraphs (kind 0: two hashes, bands) and anchors (kind 1), by first word and end.
+
+    An anchor bears its hash, h1, and the hash of all words that the runs it stands for have, h2: its
+    variant. First word and end are theirs.
+    """
+    functions = _functions(bands * size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b["doc_id"].to_pylist()
-            size, out = 0, []
+            names = b["key"].to_pylist()
+            held, out = 0, []
             for name, text in zip(names, b["text"].to_pylist(), strict=True):
                 words, found = _paragraphs(text or "")
                 if not words:
@@ -145,125 +151,87 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     cuts = np.stack([start, np.minimum(end - SHINGLE + 1, len(sh))], axis=1).ravel()
                     cuts = cuts[:-1] if cuts[-1] == len(sh) else cuts
                     least = np.stack([np.minimum.reduceat(_mix(sh * f + o), cuts)[::2] for f, o in functions])
-                    own = iter(_band_keys(least, bands, rows).T.view(np.int64))
+                    own = iter(_band_keys(least, bands, size).T.view(np.int64))
                 for a, e, joined in found:
                     two = xxhash.xxh128_intdigest(joined)
                     out.append((name, 0, a, e, two & (2**64 - 1), two >> 64, next(own) if e - a >= SHINGLE else None))
-                size += len(found) * (bands + 6)
-                at, g = anchors(h)
+                held += len(found) * (bands + 6)
+                sums = _Sums(h)
+                at, g = anchors(sums)
                 if len(at):
-                    out += [(name, 1, a, a + ANCHOR, x, 0, None) for a, x in zip(at.tolist(), g.tolist(), strict=True)]
-                    size += len(at) * 6
-                if size > HELD:
+                    first, end = np.maximum(at - REACH, 0), np.minimum(at + REACH + ANCHOR, len(h))
+                    around = _mix(sums.stretches(first, end) + (at - first).astype(np.uint64))
+                    out += [(name, 1, a, e, x, y, None) for a, e, x, y in zip(first.tolist(), end.tolist(), g.tolist(), around.tolist(), strict=True)]
+                    held += len(at) * 6
+                if held > HELD:
                     yield batch(out)
-                    size, out = 0, []
+                    held, out = 0, []
             yield batch(out)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         data = [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:4]), signed(cols[4]), signed(cols[5]), pa.array(cols[6], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(data, ["doc_id", "kind", "first", "end", "h1", "h2", "bands"])
-
-    return _whole(docs).mapInArrow(run, "doc_id long, kind int, first int, end int, h1 long, h2 long, bands array<long>")
-
+        return pa.RecordBatch.from_arrays(data, ["key", "kind", "first", "end", "h1", "h2", "bands"])
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """doc_id (nulls as the largest) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("key", "text").mapInArrow(run, "key long, kind int, first int, end int, h1 long, h2 long, bands array<long>")
 
 
-def _bit(h1: int, doc_id: int) -> int:
-    return xxhash.xxh64_intdigest(b"%d %d" % (h1, doc_id)) >> (64 - FILTER_BITS)
+def packed_span(first: Column, end: Column) -> Column:
+    """First word and end in one long."""
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR(end.cast("long"))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, pieces: Callable[[str], list[str]]) -> DataFrame:
-    """(h1, shingles, marks) of the wanted paragraphs (h1, least: a document that has it), which ``pieces`` takes from a text.
+def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is wanted of the texts: shingle sets (kind 0: h1, shingles, marks) and runs (kind 1: the run's hash as h1, key, first).
 
-    A second pass over the texts, without a shuffle of them: a filter of fixed size (2 ** FILTER_BITS
-    bits, built by an aggregate of at most one row for 64 bits) tells which paragraphs may be wanted;
-    what it lets through in vain drops out in the join.
+    wanted: (kind, least, pos, h1): the key of a row, and a span of its words. Of kind 0 the set of the
+    span's shingles is made; of kind 1 all runs of ANCHOR words within it. Only rows of which something is
+    wanted are read, by one join.
     """
-
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = [_bit(h, d) for h, d in zip(b["h1"].to_pylist(), b["least"].to_pylist(), strict=True)]
-            at = np.array(bits, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["slot", "mask"])
-
-    slots = wanted.select("h1", "least").mapInArrow(slots_of, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in slots.collect():
-        table[r["slot"]] = r["mask"]
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped.value
-        for b in batches:
-            keys, sets, marks = [], [], []
-            for name, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for joined in pieces(text or ""):
-                    h1 = int(np.uint64(xxhash.xxh128_intdigest(joined) & (2**64 - 1)).view(np.int64))
-                    bit = _bit(h1, name)
-                    if int(table[bit >> 6]) >> (bit & 63) & 1:
-                        keys.append((h1, name))
-                        sets.append(np.unique(_shingles(_hashes(joined.split())).view(np.int64)))
-                        marks.append(_marks(sets[-1]))
-            columns = [pa.array([k for k, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "least", "shingles", "marks"])
-
-    found = _whole(docs).mapInArrow(run, "h1 long, least long, shingles array<long>, marks array<long>")
-    return found.join(wanted, ["h1", "least"], "left_semi").dropDuplicates(["h1"]).select("h1", "shingles", "marks")
-
-
-def _runs_around(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(run, doc_id, first): every run of ANCHOR words (its hash) that starts less than CHOICE words from a met anchor (h1).
-
-    Each start within a common run is that close to one of its anchors, so that these runs make up the
-    common ones whole. A second pass over the texts, like ``_shingle_sets``; what the filter lets
-    through in vain are runs that no other document has.
-    """
-
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = _anchor_bits(b["h1"].to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["slot", "mask"])
-
-    slots = met.select("h1").mapInArrow(slots_of, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    table = np.zeros(1 << (ANCHOR_FILTER_BITS - 6), np.int64)
-    table[slots["slot"].to_numpy()] = slots["mask"].to_numpy()
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+    lists = wanted.groupBy("least").agg(F.collect_list(F.struct("kind", "pos", "h1")).alias("wanted"))
+    met = rows.select("key", "text").join(lists, F.col("key") == F.col("least")).select("key", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped.value
         for b in batches:
-            size, out = 0, []
-            for name, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            ends = np.cumsum(pa.compute.list_value_length(b["wanted"]).to_numpy(zero_copy_only=False))
+            kinds, spans, names = (x.to_numpy() for x in b["wanted"].flatten().flatten())
+            held, out = 0, []
+            for i, (key, text) in enumerate(zip(b["key"].to_pylist(), b["text"].to_pylist(), strict=True)):
                 h = _hashes((text or "").lower().split())
-                at, g = anchors(h)
-                bits = _anchor_bits(g)
-                at = at[table[bits >> 6] >> (bits & 63) & 1 == 1]
-                if not len(at):
-                    continue
-                every = _runs(h, ANCHOR)
-                edges = np.zeros(len(every) + 1, np.int64)
-                np.add.at(edges, np.maximum(at - CHOICE + 1, 0), 1)
-                np.add.at(edges, np.minimum(at + CHOICE, len(every)), -1)
-                near = np.flatnonzero(np.cumsum(edges[:-1]))
-                out.append((every[near].view(np.int64), np.full(len(near), name, np.int64), near.astype(np.int32)))
-                size += len(near)
-                if size > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["run", "doc_id", "first"])
-                    size, out = 0, []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["run", "doc_id", "first"])
+                own = slice(ends[i - 1] if i else 0, ends[i])
+                kind, first, end = kinds[own], spans[own] >> 32, spans[own] & (2**32 - 1)
+                for a, e, name in zip(first[kind == 0].tolist(), end[kind == 0].tolist(), names[own][kind == 0].tolist(), strict=True):
+                    x = np.unique(_shingles(h[a:e]).view(np.int64))
+                    out.append(((0, name, key, 0), x, _marks(x)))
+                    held += len(x)
+                if (kind == 1).any():
+                    every = _Sums(h).runs(ANCHOR)
+                    edges = np.zeros(len(every) + 1, np.int64)
+                    np.add.at(edges, first[kind == 1], 1)
+                    np.add.at(edges, end[kind == 1] - ANCHOR + 1, -1)
+                    near = np.flatnonzero(np.cumsum(edges[:-1]))
+                    out.append((np.stack([np.ones(len(near), np.int64), every[near].view(np.int64), np.full(len(near), key, np.int64), near]), None, None))
+                    held += 4 * len(near)
+                if held > HELD:
+                    yield batch(out)
+                    held, out = 0, []
+            yield batch(out)
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        sizes = [1 if x is not None else f.shape[1] for f, x, _ in found]
+        flat = np.concatenate([np.array(f, np.int64).reshape(4, -1) for f, _, _ in found], axis=1) if found else np.empty((4, 0), np.int64)
 
-    return _whole(docs).mapInArrow(run, "run long, doc_id long, first int")
+        def listed(at: int) -> pa.Array:
+            whole = [x for f in found if (x := f[at]) is not None]
+            lengths = np.repeat([0 if f[at] is None else len(f[at]) for f in found], sizes) if found else np.empty(0, np.int64)
+            values = np.concatenate(whole) if whole else np.empty(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
+        columns = [pa.array(flat[0].astype(np.int32)), pa.array(flat[1]), pa.array(flat[2]), pa.array(flat[3].astype(np.int32)), listed(1), listed(2)]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "h1", "key", "first", "shingles", "marks"])
 
-def _anchor_bits(hashes: np.ndarray) -> np.ndarray:
-    """Slots in the filter; anchors are the smallest of their neighbours, so their bits are mixed once more."""
-    return (_mix(hashes) >> np.uint64(64 - ANCHOR_FILTER_BITS)).astype(np.int64)
+    return met.mapInArrow(run, "kind int, h1 long, key long, first int, shingles array<long>, marks array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -295,23 +263,23 @@ def _fine_bands(sets: DataFrame, similar: float) -> DataFrame:
     return sets.mapInArrow(run, "key long, h1 long")
 
 
-def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _buckets(scratch: Scratch, rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(members with their bucket's size, pairs of each member with its bucket's chosen ones): buckets of at least two."""
     shuffled = [F.xxhash64("h1", F.lit(i)) for i in range(2)]
     chosen = [F.min("h1").alias("r0"), F.max("h1").alias("r1"), *[F.min_by("h1", x).alias(f"r{i + 2}") for i, x in enumerate(shuffled)]]
-    buckets, _ = stored(rows.groupBy("key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("r0 <> r1"), "buckets")
-    members, _ = stored(rows.join(buckets, "key"), "bucket-members")
+    buckets = scratch.write(f"{label}-buckets", rows.groupBy("key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("r0 <> r1"))
+    members = scratch.write(f"{label}-members", rows.join(buckets, "key"))
     star = members.select("h1", F.explode(F.array("r0", "r1", "r2", "r3")).alias("r")).where("h1 <> r")
-    star, _ = stored(star.select(F.least("h1", "r").alias("u"), F.greatest("h1", "r").alias("v")).distinct(), "star-pairs")
+    star = scratch.write(f"{label}-star", star.select(F.least("h1", "r").alias("u"), F.greatest("h1", "r").alias("v")).distinct())
     return members.select("key", "h1", "n"), star
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed(scratch: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (key, h1, root) of buckets that still hold several components and had pairs that no star compared."""
     known = members.where("n > 3").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("root"))
-    known, _ = stored(known, "bucket-roots")
-    mixed, _ = stored(known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "mixed-buckets")
-    return stored(known.join(mixed, "key", "left_semi"), "mixed-members")[0]
+    known = scratch.write("bucket-roots", known)
+    mixed = scratch.write("mixed-buckets", known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+    return scratch.write("mixed-members", known.join(mixed, "key", "left_semi"))
 
 
 def _marks(shingles: np.ndarray) -> np.ndarray:
@@ -329,76 +297,121 @@ def _may_be_similar(u: str, v: str, similar: float) -> Column:
     return (F.col(f"{u}_n") - alone(u, v) >= need) & (F.col(f"{v}_n") - alone(v, u) >= need)
 
 
-def near_paragraphs(docs: DataFrame, distinct: DataFrame, similar: float, pieces: Callable[[str], list[str]] = _paragraph_texts) -> DataFrame:
-    """Components of similar paragraphs: (node, root), both ``h1``. distinct: (h1, h2, least, bands), one row a paragraph.
+class NearSets:
+    """Components of similar shingle sets: (node, root), both ``h1``. distinct: (h1, least, pos, bands), one row a set.
 
-    Paragraphs that collide in a band form a bucket. In every bucket each member is compared with four
+    Sets that collide in a band form a bucket. In every bucket each member is compared with four
     chosen ones (smallest, largest, two by hash). Members of buckets of more than three go through a
     second, finer banding, again with chosen ones; the verified links give first components, and what
     they leave apart in a fine bucket is compared pair by pair across components, first by maps of the
     shingles that rule out no similar pair. So a group of near copies costs some rows a member instead
     of all its pairs, and no component misses a link that both bandings find (each with RECALL at the
     threshold, more above).
+
+    ``wanted`` are the sets to fetch from the texts; ``components`` takes them.
     """
-    rows, _ = stored(distinct.select("h1", F.explode("bands").alias("key")), "bands")
-    members, star = _buckets(rows)
-    wanted, _ = stored(distinct.select("h1", "least").join(members.select("h1").distinct(), "h1", "left_semi"), "wanted")
-    sets, _ = stored(_shingle_sets(docs, wanted, pieces), "shingle-sets")
-    fine, _ = stored(_fine_bands(sets.join(members.where("n > 3").select("h1").distinct(), "h1", "left_semi"), similar), "fine-bands")
-    members, more = _buckets(fine)
-    links, _ = stored(_similar(star.union(more).distinct(), sets, similar), "links")
-    roots, _ = stored(components(links), "roots")
-    rest = _mixed(members, roots)
-    rest = rest.join(sets.select("h1", F.size("shingles").alias("n"), "marks"), "h1")
-    side = lambda x: rest.select("key", F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "marks")])
-    across = side("u").join(side("v"), "key").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may_be_similar("u", "v", similar))
-    across = across.select("u", "v").distinct()
-    more, _ = stored(_similar(across, sets, similar), "links")
-    if more.isEmpty():
-        return roots
-    return stored(components(links.union(more)), "roots")[0]
+
+    def __init__(self, scratch: Scratch, distinct: DataFrame, similar: float) -> None:
+        self.scratch, self.similar = scratch, similar
+        rows = scratch.write("bands", distinct.select("h1", F.explode("bands").alias("key")))
+        self.members, self.star = _buckets(scratch, rows, "band")
+        scratch.drop("bands", "band-buckets")
+        wanted = distinct.select("h1", "least", "pos").join(self.members.select("h1").distinct(), "h1", "left_semi")
+        self.wanted = scratch.write("wanted", wanted.select(F.lit(0).alias("kind"), "least", "pos", "h1"))
+
+    def components(self, sets: DataFrame) -> DataFrame:
+        """sets: (h1, shingles, marks) of all that is wanted, one row a set."""
+        scratch, similar = self.scratch, self.similar
+        fine = scratch.write("fine-bands", _fine_bands(sets.join(self.members.where("n > 3").select("h1").distinct(), "h1", "left_semi"), similar))
+        members, more = _buckets(scratch, fine, "fine")
+        links = scratch.write("set-links", _similar(self.star.union(more).distinct(), sets, similar))
+        roots = scratch.write("roots", components(links))
+        rest = _mixed(scratch, members, roots)
+        rest = rest.join(sets.select("h1", F.size("shingles").alias("n"), "marks"), "h1")
+        side = lambda x: rest.select("key", F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "marks")])
+        across = side("u").join(side("v"), "key").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may_be_similar("u", "v", similar))
+        across = across.select("u", "v").distinct()
+        more = scratch.write("set-links-across", _similar(across, sets, similar))
+        return roots if more.isEmpty() else scratch.write("roots-again", components(links.union(more)))
+
+
+def near_sets(scratch: Scratch, rows: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
+    """``NearSets`` of spans of rows (key, text), fetched by themselves."""
+    near = NearSets(scratch, distinct, similar)
+    sets = scratch.write("shingle-sets", _fetched(rows, near.wanted).dropDuplicates(["h1"]).select("h1", "shingles", "marks"))
+    return near.components(sets)
+
+
+def _spans(scratch: Scratch, rows: DataFrame, similar: float) -> DataFrame:
+    """(key, first_key, first, end) of all repeated passages of rows (key, text), each as often as it is found; see ``repeated_passages``."""
+    bands, size = bands_for(similar)
+    units = scratch.write("units", _units(rows, bands, size), by="kind")
+    whole, parts = units.where("kind = 0"), units.where("kind = 1")
+
+    flat = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(bands)]
+    own = whole.select("key", "h1", "h2", packed_span(F.col("first"), F.col("end")).alias("pos"), *flat)
+    distinct = own.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min_by("pos", "key").alias("pos"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(bands)])
+    distinct = scratch.write("paragraphs", distinct.select("h1", "h2", "least", "most", "pos", F.array(*[f"b{i}" for i in range(bands)]).alias("bands")))
+    # runs: a variant that another row has is met as it stands; of anchors with several variants the first row of each is compared run by run
+    variants = parts.groupBy(F.col("h2").alias("variant")).agg(F.first("h1").alias("h"), F.min("key").alias("least"), F.max("key").alias("most"), F.min_by(packed_span(F.col("first"), F.col("end")), "key").alias("pos"))
+    variants = scratch.write("variants", variants)
+    apart = variants.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 1").select("h")
+    apart = scratch.write("anchors-apart", variants.join(apart, "h", "left_semi").select(F.lit(1).alias("kind"), "least", "pos", F.lit(0).cast("long").alias("h1")))
+    again = scratch.write("variants-again", variants.where("least < most").select(F.col("variant").alias("h2"), F.col("least").alias("first_key")))
+    scratch.drop("variants")
+
+    near = NearSets(scratch, distinct.where("bands[0] is not null"), similar)
+    got = scratch.write("fetched", _fetched(rows, near.wanted.unionByName(apart)), by="kind")
+    sets = scratch.write("shingle-sets", got.where("kind = 0").dropDuplicates(["h1"]).select("h1", "shingles", "marks"))
+    roots = near.components(sets).withColumnRenamed("node", "h1")
+    plain = distinct.select("h1", "h2", "least", "most")
+    placed = scratch.write("near-paragraphs", plain.join(roots, "h1").select("h1", "h2", "root", "least", "most"))
+    classes = scratch.write("near-classes", placed.groupBy("root").agg(F.min("least").alias("class_least"), F.max("most").alias("class_most")).where("class_least < class_most"))
+    together = scratch.write("near-firsts", placed.join(classes, "root").select("h1", "h2", F.col("class_least").alias("first_key")))
+    exact = plain.where("least < most").join(together, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("least").alias("first_key"))
+    firsts = scratch.write("paragraph-firsts", together.unionByName(exact))
+
+    runs = got.where("kind = 1").select(F.col("h1").alias("run"), "key", "first")
+    common = scratch.write("runs-common", runs.groupBy("run").agg(F.min("key").alias("first_key"), F.max("key").alias("most")).where("first_key < most").select("run", "first_key"))
+    spans = whole.select("key", "first", "end", "h1", "h2").join(firsts, ["h1", "h2"]).select("key", "first_key", "first", "end")
+    spans = spans.unionByName(parts.select("key", "first", "end", "h2").join(again, "h2").select("key", "first_key", "first", "end"))
+    spans = spans.unionByName(runs.join(common, "run").select("key", "first_key", "first", (F.col("first") + ANCHOR).alias("end")))
+    found = spans.repartition("key").sortWithinPartitions("key", "first_key", "first").mapInArrow(_unite, "key long, first_key long, first_word long, n_words long")
+    found = scratch.write("passages", found)
+    scratch.drop(*[x for x in scratch.paths if x != "passages"])
+    return found
 
 
 def repeated_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per repeated passage of a document: ``doc_id, first_doc_id, first_word, n_words``.
+    """One row per repeated passage of a document: ``doc_id, first_doc_id, first_word, n_words, removed``.
 
     Two kinds, united where they overlap and share ``first_doc_id``. Paragraphs (lines that are not
     blank) that are equal or whose sets of 5-word shingles are similar (exact Jaccard, components of
     such links; under five words only equality counts);
     and exact runs of words within any text: of each neighbourhood one run of ANCHOR words is chosen by
     its hash, so that every common run of 49 words or more is met; about a met one all runs of ANCHOR
-    words are compared, and those that several documents have are the passage, to the word. Words are split at white space and compared in lower case; numbers count from 0.
-
-    ``first_doc_id`` is the smallest doc_id that has the passage; that document has a row, too. What
-    repeats in one document only is no repetition; documents without any have no row. Rows with one
-    doc_id count as one document; null doc_ids as one that comes last. Null and empty texts have no
-    passages; an empty table gives no rows.
+    words are compared, and those that several documents have are the passage, to the word. (Where the
+    whole neighbourhood is the same in several documents, one comparison of it stands for all.) Words
+    are split at white space and compared in lower case; numbers count from 0.
+
+    ``first_doc_id`` is the document that has the passage first; it has a row, too, and in every other
+    ``removed`` is true. What repeats in one document only is no repetition; documents without any have
+    no row. Every row of docs is a document of its own: rows with a null doc_id, and those of different
+    texts under one doc_id, come after all others, in an order by hash (see ``_shared.keyed``); rows that
+    repeat doc_id and text count as one document. Null and empty texts have no passages; an empty table
+    gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    bands, rows = bands_for(similar)
-    path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
-    _units(docs, bands, rows).write.partitionBy("kind").parquet(path)
-    units = spark.read.schema("doc_id long, first int, end int, h1 long, h2 long, bands array<long>, kind int").parquet(path)
-    whole, parts = units.where("kind = 0"), units.where("kind = 1")
-
-    flat = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(bands)]
-    distinct = whole.select("doc_id", "h1", "h2", *flat).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(bands)])
-    distinct, _ = stored(distinct.select("h1", "h2", "least", "most", F.array(*[f"b{i}" for i in range(bands)]).alias("bands")), "paragraphs")
-    roots = near_paragraphs(docs, distinct.where("bands[0] is not null"), similar).withColumnRenamed("node", "h1")
-    plain = distinct.select("h1", "h2", "least", "most")
-    placed, _ = stored(plain.join(roots, "h1").select("h1", "h2", "root", "least", "most"), "near-paragraphs")
-    classes, _ = stored(placed.groupBy("root").agg(F.min("least").alias("class_least"), F.max("most").alias("class_most")).where("class_least < class_most"), "near-classes")
-    near = placed.join(classes, "root").select("h1", "h2", F.col("class_least").alias("first_doc_id"))
-    near, _ = stored(near, "near-firsts")
-    exact = plain.where("least < most").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("least").alias("first_doc_id"))
-    firsts, _ = stored(near.unionByName(exact), "paragraph-firsts")
-    met, _ = stored(parts.groupBy("h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1"), "anchors-met")
-    runs, _ = stored(_runs_around(docs, met), "runs")
-    common, _ = stored(runs.groupBy("run").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("most")).where("first_doc_id < most").select("run", "first_doc_id"), "runs-common")
-
-    spans = whole.select("doc_id", "first", "end", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "first_doc_id", "first", "end")
-    spans = spans.unionByName(runs.join(common, "run").select("doc_id", "first_doc_id", "first", (F.col("first") + ANCHOR).alias("end")))
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "first").mapInArrow(_unite, "doc_id long, first_doc_id long, first_word long, n_words long")
+    rows = keyed(docs)
+    scratch = Scratch(docs.sparkSession)
+    found = _spans(scratch, rows.select("key", "text"), similar)
+    removed = (F.col("key") > F.col("first_key")).alias("removed")
+    if found.where((F.col("key") >= UNNAMED) | (F.col("first_key") >= UNNAMED)).isEmpty():
+        return found.select(F.col("key").alias("doc_id"), F.col("first_key").alias("first_doc_id"), "first_word", "n_words", removed)
+    names = scratch.write("names", rows.where(F.col("key") >= UNNAMED).select("key", F.col("row.doc_id").cast("long").alias("doc_id")).distinct())
+    name = lambda c, out: F.when(F.col(c) < UNNAMED, F.col(c)).otherwise(F.col(f"{out}_named")).alias(out)
+    for c, out in (("key", "doc_id"), ("first_key", "first_doc_id")):
+        found = found.join(names.select(F.col("key").alias(f"{out}_of"), F.col("doc_id").alias(f"{out}_named")), F.col(c) == F.col(f"{out}_of"), "left")
+    return found.select(name("key", "doc_id"), name("first_key", "first_doc_id"), "first_word", "n_words", removed)
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,10 +419,10 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = np.empty((0, 4), np.int64)  # the span that a next batch may prolong
 
     def rows(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, 0], x[:, 1], x[:, 2], x[:, 3] - x[:, 2])], ["doc_id", "first_doc_id", "first_word", "n_words"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, 0], x[:, 1], x[:, 2], x[:, 3] - x[:, 2])], ["key", "first_key", "first_word", "n_words"])
 
     for b in batches:
-        new = np.stack([b[c].to_numpy().astype(np.int64) for c in ("doc_id", "first_doc_id", "first", "end")], axis=1)
+        new = np.stack([b[c].to_numpy().astype(np.int64) for c in ("key", "first_key", "first", "end")], axis=1)
         x = np.concatenate([last, new])
         if not len(x):
             continue
@@ -434,22 +447,31 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_passages(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def remove_passages(docs: DataFrame, similar: float = SIMILAR, drop_emptied: bool = False) -> DataFrame:
     """All rows and columns of docs; from ``text`` every repeated passage is cut but where it stands first (see ``repeated_passages``).
 
     Documents without such a passage keep their text to the letter; what is cut takes the white space
-    before it along. A text may become empty; null stays null.
+    before it along. A text may become empty, and its row goes if ``drop_emptied``; null stays null. No
+    name of a column clashes.
     """
-    gone = repeated_passages(docs, similar).where("doc_id > first_doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words")).alias("e")))).alias("_spans"))
-    gone, _ = stored(gone.withColumnRenamed("doc_id", "_of"), "passages-gone")
+    rows = keyed(docs)
+    scratch = Scratch(docs.sparkSession)
+    found = _spans(scratch, rows.select("key", "text"), similar).where("key > first_key")
+    spans = F.array_sort(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words")).alias("e")))).alias("spans")
+    gone = scratch.write("passages-gone", found.groupBy(F.col("key").alias("of")).agg(spans))
+    scratch.drop("passages")
 
     @F.pandas_udf("string")
     def cut(texts, spans):  # noqa: ANN001, ANN202
         return texts.combine(spans, lambda t, s: t if s is None else without(t, [(x["a"], x["e"]) for x in s]))
 
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_of"), "left")
-    text = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text").cast("string")).otherwise(cut(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("_spans")))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = rows.select("key", "row").join(gone, F.col("key") == F.col("of"), "left")
+    own = F.col("row.text").cast("string")
+    text = F.when(F.col("spans").isNull() | own.isNull(), own).otherwise(cut(F.coalesce(own, F.lit("")), F.col("spans")))
+    joined = joined.withColumn("left", text)
+    if drop_emptied:
+        joined = joined.where(F.col("spans").isNull() | F.col("left").isNull() | (F.trim("left") != ""))
+    return joined.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -355,7 +355,7 @@ def test_near_group_without_all_pairs(spark, prose):
             if len(a & b) >= 0.8 * len(a | b):
                 x, y = groups[i], groups[j]
                 groups = {k: min(x, y) if g in (x, y) else g for k, g in groups.items()}
-    found = {d: f for d, f, _, n in rows(substring_dedup.repeated_passages(docs)) if n == len(base)}
+    found = {d: f for d, f, _, n, _ in rows(substring_dedup.repeated_passages(docs)) if n == len(base)}
     assert found == {i: g for i, g in groups.items() if list(groups.values()).count(g) > 1}
 
 
