@@ -110,11 +110,23 @@ def _paragraphs(text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
     return words, found
 
 
-def _functions(n: int) -> list[tuple[np.uint64, np.uint64]]:
-    """(factor, offset) of n MinHash functions."""
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of n MinHash functions, as columns. What they are applied to is mixed already, so a product and a sum do."""
     rng = np.random.default_rng(11)
     factor = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return list(zip(factor, rng.integers(0, 1 << 63, n, dtype=np.uint64), strict=True))
+    return factor[:, None], rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
+
+
+def _least(shingles: np.ndarray, cuts: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least hash of each function (rows) in the slices that begin at the cuts (columns); few functions at once where the text is long."""
+    factor, offset = functions
+    step = max(1, (1 << 21) // max(1, len(shingles)))
+    parts = []
+    for i in range(0, len(factor), step):
+        x = shingles * factor[i : i + step]
+        x += offset[i : i + step]
+        parts.append(np.minimum.reduceat(x, cuts, axis=1))
+    return np.concatenate(parts)
 
 
 def _band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -150,8 +162,7 @@ def _units(rows: DataFrame, bands: int, size: int) -> DataFrame:
                     # rows of shingles between the paragraphs belong to none: every second slice
                     cuts = np.stack([start, np.minimum(end - SHINGLE + 1, len(sh))], axis=1).ravel()
                     cuts = cuts[:-1] if cuts[-1] == len(sh) else cuts
-                    least = np.stack([np.minimum.reduceat(_mix(sh * f + o), cuts)[::2] for f, o in functions])
-                    own = iter(_band_keys(least, bands, size).T.view(np.int64))
+                    own = iter(_band_keys(_least(sh, cuts, functions)[:, ::2], bands, size).T.view(np.int64))
                 for a, e, joined in found:
                     two = xxhash.xxh128_intdigest(joined)
                     out.append((name, 0, a, e, two & (2**64 - 1), two >> 64, next(own) if e - a >= SHINGLE else None))
