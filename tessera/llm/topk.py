@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import stored
 
 #: Rows of a shard and of a block of queries, at most about; shards at least (so that all executors have work).
-SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 16_384, 2_048, 24
+SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 65_536, 16_384, 24
 #: Postings that are traversed at once (few at first, so that the k-th best score soon cuts), and queries whose scores are held at once.
 FIRST, STRIDE, HELD = 64, 2_048, 256
 
@@ -57,7 +57,12 @@ def search_shard(queries: np.ndarray, own: np.ndarray, postings: np.ndarray, ids
         essential = np.ones_like(queries, bool)
         np.put_along_axis(essential, order, np.arange(width)[None, :] >= spare[:, None], 1)
         rest = np.where(spare > 0, np.take_along_axis(total, np.maximum(spare - 1, 0)[:, None], 1)[:, 0], 0)
-        partial = np.where(essential, queries, 0) @ block
+        partial = np.zeros((len(queries), block.shape[1]))
+        many = 4 * essential.sum(axis=1) > width  # these traverse the postings that any of them needs together, the others their own
+        terms = essential[many].any(axis=0)
+        partial[many] = np.where(essential[many][:, terms], queries[many][:, terms], 0) @ block[terms]
+        for i in np.flatnonzero(~many & essential.any(axis=1)):
+            partial[i] = queries[i, essential[i]] @ block[essential[i]]
         row, col = np.nonzero(partial >= (bar - rest)[:, None])
         other = names[col] != own[row]
         row, col = row[other], col[other]
@@ -100,7 +105,8 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64) -> Da
     are null or hold null or non-finite components take no part, nor do rows without a vec_id; vectors
     of different lengths are compared as if the missing components were zero. A row that is repeated
     as a whole counts once; of different vectors under one vec_id all are candidates and the smallest
-    (by components) is the query. An empty table gives no rows; other columns are not read.
+    (by components) is the query. An empty table gives no rows; other columns are not read. Components so
+    large that a score could reach 2^53 are an error.
 
     Rows are dealt into shards and queries into blocks of bounded size, both by a hash of the id; each
     pair of block and shard is one group, in which MaxScore keeps the k best. A window merges the
@@ -109,7 +115,10 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64) -> Da
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("q"), F.coalesce(asked, F.lit(False)).alias("asked"))
     clean, _ = stored(clean.where("vec_id is not null and q is not null").dropDuplicates(["vec_id", "q"]), "vectors")
     wanted = clean.where("asked").groupBy("vec_id").agg(F.min("q").alias("q"))
-    size = clean.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asked"), 1)).alias("q")).first()
+    largest = F.max(F.coalesce(F.array_max(F.transform("q", lambda x: F.abs(x.cast("double")))), F.lit(0.0)))
+    size = clean.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asked"), 1)).alias("q"), largest.alias("largest"), F.max(F.size("q")).alias("width")).first()
+    if size["n"] and size["largest"] ** 2 * max(1, size["width"]) >= 1 << 53:
+        raise ValueError("components are too large: scores of 2^53 or more are not exact in the product")
     shards = max(LEAST_SHARDS, -(-size["n"] // SHARD_ROWS))
     blocks = max(1, -(-size["q"] // BLOCK_QUERIES))
     group = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")

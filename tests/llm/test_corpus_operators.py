@@ -48,6 +48,23 @@ def test_components(spark):
 # 1
 
 
+def test_top_k_refuses_scores_that_are_not_exact(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(df, F.col("vec_id") == 0)
+
+
+def test_search_prunes_and_stays_exact():
+    rng = np.random.default_rng(4)
+    queries, stock = rng.integers(-9, 9, (12, 16)).astype(float), rng.integers(-9, 9, (16, 9000)).astype(float)
+    queries[:6, 2:] = 0  # of these two terms are essential at most
+    ids = np.arange(9000)
+    found = {i: (names.tolist(), scores.tolist()) for i, names, scores in topk.search_shard(queries, np.full(12, -1), stock, ids, 5)}
+    for i, scores in enumerate(queries @ stock):
+        best = sorted(zip(-scores, ids, strict=True))[:5]
+        assert found[i] == ([n for _, n in best], [-x for x, _ in best])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
@@ -406,7 +423,8 @@ def test_multi_index_pairs(spark):
 
 def test_packing(spark, corpus, empty):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    special = spark.createDataFrame([(900, "hi <|endoftext|> there<|endoftext|><|endoftext|> \n", "x"), (901, "<|endoftext|", "y")], "doc_id long, text string, score string")
+    corpus = corpus.unionByName(special, allowMissingColumns=True)
     found = packing.pack_documents(corpus, JSON, public_tokenizers.PATTERN, end_id=2, capacity=64).collect()
     expected = Counter()
     for r in corpus.collect():
