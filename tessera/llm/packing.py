@@ -23,13 +23,18 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids with ``end_id`` after them.
 
     Only documents of more than ``capacity`` ids are cut; all pieces but the first then have
-    ``capacity`` ids, the first has what remains. Null text counts as empty: one piece, the end id.
+    ``capacity`` ids, the first has what remains. Null text counts as empty: one piece, the end id. The
+    added tokens of the vocabulary's JSON file are found in a text, as ``tokenizers`` does. Texts of any
+    length are encoded whole; no column but doc_id and text is read.
     """
-    ranks = tokens.ranks_of(vocabulary)
-    shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern, tokens.key_of(ranks)))
+    ranks, added = tokens.ranks_of(vocabulary), tokens.added_of(vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern, tokens.key_of(ranks, added), added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(*shipped.value).encode_ordinary
+        encoder = tokens.encoder(*shipped.value)
+        added = shipped.value[3]
+        # without an added token in the text both give the same ids; looking first is the faster way
+        encode = lambda x: encoder.encode(x, allowed_special="all") if any(t in x for t in added) else encoder.encode_ordinary(x)
         for b in batches:
             row: list[int] = []
             out: list[tuple[int, int, int, int]] = []
@@ -141,7 +146,8 @@ def packed(parts: DataFrame, capacity: int) -> DataFrame:
     The driver sees the length histogram only (at most ``capacity`` rows) and ships the plan, whose size
     is bounded likewise. Pieces of one length are numbered in salted groups of about RANKED rows with
     the groups' offsets from their counts, so that a length which a third of all pieces have meets in no
-    single task. An empty table gives no rows; repeated rows are packed one by one.
+    single task. An empty table gives no rows; repeated rows are packed one by one; of pieces of one length
+    it does not matter which goes where.
     """
     spark = parts.sparkSession
     parts, _ = stored(parts, "pieces")

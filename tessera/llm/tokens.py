@@ -36,17 +36,29 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in kept["model"]["vocab"].items() if token not in special}
 
 
-def key_of(ranks: dict[bytes, int]) -> str:
-    digest = hashlib.sha256()
+def added_of(path: str) -> dict[str, int]:
+    """The added tokens of tokenizers' JSON, which it finds in a text before anything is split; none in a rank file."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, "rb") as f:
+        added = json.loads(f.read()).get("added_tokens", ())
+    for t in added:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"):
+            raise ValueError(f"added token {t['content']!r} has a flag that is not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def key_of(ranks: dict[bytes, int], added: dict[str, int] | None = None) -> str:
+    digest = hashlib.sha256(repr(sorted((added or {}).items())).encode())
     for token, rank in ranks.items():
         digest.update(b"%d %d " % (rank, len(token)) + token)
     return digest.hexdigest()
 
 
-def encoder(ranks: dict[bytes, int], pattern: str, key: str) -> tiktoken.Encoding:
-    """One encoder a worker process and vocabulary."""
+def encoder(ranks: dict[bytes, int], pattern: str, key: str, added: dict[str, int] | None = None) -> tiktoken.Encoding:
+    """One encoder a worker process and vocabulary; ``encode(text, allowed_special="all")`` finds the added tokens, too."""
     if key not in _encoders:
-        _encoders[key] = tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[key] = tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
     return _encoders[key]
 
 
