@@ -15,6 +15,8 @@ _own_dir: str | None = None
 
 #: Spark's setting by which a query's shuffle files go when it has ended, and not when the driver next collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits for each wanted value in a map of them, and values up to which there is such a map (a word of 64 bits is a row of 16 bytes).
+BITS_EACH, MAPPED = 8, 8_000_000
 #: Keys of rows from here on are hashes; smaller ones are doc_ids.
 UNNAMED = 1 << 62
 
@@ -104,6 +106,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.when(proper, F.col("doc_id")).otherwise(hashed).alias("key"), "text", "row")
 
 
+def may_be_among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value (a long) may be among the wanted ones, in the column of the same name, to spare most others the shuffle.
+
+    A map of BITS_EACH bits a wanted value is built by an aggregate and broadcast as rows of 64 bits;
+    with more than MAPPED wanted ones the rows stay as they are and the join that follows does it all.
+    That must be an inner one, for the optimizer would move a semi-join below this.
+    """
+    n = wanted.count()
+    if n > MAPPED:
+        return rows
+    words = max(1, n * BITS_EACH // 64)
+    spread = F.xxhash64(F.col(column), F.lit(7))
+    word, bit = F.pmod(F.shiftrightunsigned(spread, 6), F.lit(words)), spread.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(mark).alias("_marks"))
+    met = rows.withColumn("_at", word).join(F.broadcast(table), F.col("_at") == F.col("_word"))
+    return met.where(F.getbit("_marks", bit) == 1).drop("_at", "_word", "_marks")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,12 +8,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Scratch, keyed
+from tessera.llm._shared import Scratch, keyed, may_be_among
 
 #: Edit distance up to which a line repeats another, and code points that a line needs for that.
 DISTANCE, LEAST_CHARS = 2, 20
-#: Bits for each wanted line in the map by which a second scan finds them, and lines up to which there is such a map (a word of 64 bits is a row of 16 bytes; beyond, all lines go to the join).
-BITS_EACH, MAPPED = 8, 8_000_000
 #: Characters whose counts tell most pairs of different lines apart before their texts are fetched, twelve to a long.
 LETTERS = ("etaoinsrhldu", "cmfwgypbvk .")
 
@@ -189,25 +187,6 @@ def _without_common_ends(scratch: Scratch, pairs: DataFrame, a: str, b: str) ->
     return pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
 
 
-def _those_that_may_be(lines: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """The lines whose hash may be among the wanted ones, to spare most others the shuffle.
-
-    A map of BITS_EACH bits a wanted hash is built by an aggregate and broadcast as rows of 64 bits;
-    with more than MAPPED wanted ones the lines stay as they are and the join that follows does it all.
-    That must be an inner one, for the optimizer would move a semi-join below this.
-    """
-    n = wanted.count()
-    if n > MAPPED:
-        return lines
-    words = max(1, n * BITS_EACH // 64)
-    spread = F.xxhash64(F.col(column), F.lit(7))
-    word, bit = F.pmod(F.shiftrightunsigned(spread, 6), F.lit(words)), spread.bitwiseAND(F.lit(63).cast("long")).cast("int")
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(mark).alias("_marks"))
-    met = lines.withColumn("_at", word).join(F.broadcast(table), F.col("_at") == F.col("_word"))
-    return met.where(F.getbit("_marks", bit) == 1).drop("_at", "_word", "_marks")
-
-
 def near_members(known: DataFrame, names: list[str]) -> DataFrame:
     """(key, id) of the keys that two lines have. known: distinct lines, ``h1`` and the keys under these names.
 
@@ -248,7 +227,7 @@ def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int
     scratch.drop("lines-known")
 
     with_id = _lines(rows, least).select("h1", "h2", "line", "size", F.col("h1").alias("id"))
-    texts = _those_that_may_be(with_id, wanted, "id").join(wanted, "id").dropDuplicates(["h1", "h2"]).join(places, ["h1", "h2"])
+    texts = may_be_among(with_id, wanted, "id").join(wanted, "id").dropDuplicates(["h1", "h2"]).join(places, ["h1", "h2"])
     texts = scratch.write("line-texts", texts)
     letters = scratch.write("line-letters", texts.select("id", "size", letter_counts(F.col("line")).alias("letters")))
     pairs = scratch.write("line-pairs", near_pairs(members, letters, distance))

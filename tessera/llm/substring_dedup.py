@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import UNNAMED, Scratch, components, keyed
+from tessera.llm._shared import UNNAMED, Scratch, components, keyed, may_be_among
 
 #: Words of a shingle, similarity and recall of the banding. Paragraphs of fewer words than a shingle repeat by equality only.
 SHINGLE, SIMILAR, RECALL = 5, 0.8, 0.998
@@ -201,7 +201,8 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted are read, by one join.
     """
     lists = wanted.groupBy("least").agg(F.collect_list(F.struct("kind", "pos", "h1")).alias("wanted"))
-    met = rows.select("key", "text").join(lists, F.col("key") == F.col("least")).select("key", "text", "wanted")
+    some = may_be_among(rows.select("key", "text"), wanted.select(F.col("least").alias("key")).distinct(), "key")
+    met = some.join(lists, F.col("key") == F.col("least")).select("key", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
