@@ -16,10 +16,11 @@ DISTANCE, LEAST_CHARS = 2, 20
 LETTERS = ("etaoinsrhldu", "cmfwgypbvk .")
 
 
-def _lines(rows: DataFrame, least_chars: int, units: bool = False) -> DataFrame:
+def _lines(rows: DataFrame, least_chars: int, least_keyed: int | None = None) -> DataFrame:
     """(key, line_no, line, size, h1, h2) of every line, outer white space cut, with at least ``least_chars`` code points. rows: (key, text).
 
-    units: with ``wide``, the line in four bytes a code point, so that each is reached at once.
+    least_keyed: with ``wide``, the line in four bytes a code point, so that each is reached at once, and
+    ``span``, its size; no bytes and zero where it has fewer code points than that.
     """
     others = ["\t", "\r", "\f", "\u000b"]
 
@@ -29,7 +30,13 @@ def _lines(rows: DataFrame, least_chars: int, units: bool = False) -> DataFrame:
 
     trimmed = F.transform(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), cut)
     # line and size come out of the generator as they are; as expressions they would be worked out anew for every use
-    wide = lambda x: [F.encode(x, "UTF-32").alias("wide")] * units
+
+    def wide(x: Column) -> list[Column]:
+        if least_keyed is None:
+            return []
+        enough = F.length(x) >= least_keyed
+        return [F.when(enough, F.encode(x, "UTF-32")).alias("wide"), F.when(enough, F.length(x)).otherwise(0).alias("span")]
+
     each = rows.select("key", F.posexplode(F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.length(x).alias("size"), *wide(x)))).alias("line_no", "e"))
     sized = each.select("key", "line_no", "e.*").where(F.col("size") >= least_chars)
     return sized.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
@@ -214,9 +221,9 @@ def _repeated(scratch: Scratch, rows: DataFrame, distance: int, least_chars: int
     third of the documents have costs one row; only the texts of candidates are fetched for the check.
     """
     least = max(1, least_chars if least_exact is None else min(least_exact, least_chars))
-    names, long = [f"key_{i}" for i in range(n_keys(distance))], F.col("size") >= least_chars
-    keys = [F.when(long, k).alias(c) for c, k in zip(names, _keys("size", "wide", distance), strict=True)]
-    every = scratch.write("lines", _lines(rows, least, units=True).select("key", "line_no", "h1", "h2", *keys))
+    names = [f"key_{i}" for i in range(n_keys(distance))]
+    keys = [k.alias(c) for c, k in zip(names, _keys("span", "wide", distance), strict=True)]
+    every = scratch.write("lines", _lines(rows, least, least_chars).select("key", "line_no", "h1", "h2", *keys))
     flat = every.select("h1", "h2", _place().alias("place"), *names)
     known = flat.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
     known = scratch.write("lines-known", known)
