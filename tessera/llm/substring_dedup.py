@@ -473,13 +473,15 @@ def remove_passages(docs: DataFrame, similar: float = SIMILAR, drop_emptied: boo
     gone = scratch.write("passages-gone", found.groupBy(F.col("key").alias("of")).agg(spans))
     scratch.drop("passages")
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):  # noqa: ANN001, ANN202
-        return texts.combine(spans, lambda t, s: t if s is None else without(t, [(x["a"], x["e"]) for x in s]))
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array((None if s is None else without(t.as_py(), [(x["a"], x["e"]) for x in s]) for t, s in ((t, s.as_py()) for t, s in zip(texts, spans))), pa.string())
 
     joined = rows.select("key", "row").join(gone, F.col("key") == F.col("of"), "left")
     own = F.col("row.text").cast("string")
-    text = F.when(F.col("spans").isNull() | own.isNull(), own).otherwise(cut(F.coalesce(own, F.lit("")), F.col("spans")))
+    # only texts that lose something go to Python, and once: a deterministic function would be put into the filter below again
+    met = F.col("spans").isNotNull() & own.isNotNull()
+    text = F.when(met, cut.asNondeterministic()(F.when(met, own), F.when(met, F.col("spans")))).otherwise(own)
     joined = joined.withColumn("left", text)
     if drop_emptied:
         joined = joined.where(F.col("spans").isNull() | F.col("left").isNull() | (F.trim("left") != ""))

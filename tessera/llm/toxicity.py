@@ -282,8 +282,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     """The rows of docs, all columns, whose text scores below the threshold; null text stays. One pass, no join."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda x: score(shipped.value, x) < threshold)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        model = shipped.value
+        return pa.array((score(model, x.as_py()) < threshold for x in texts), pa.bool_())
 
     return docs.where(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
