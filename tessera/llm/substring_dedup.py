@@ -149,7 +149,7 @@ def _units(rows: DataFrame, bands: int, size: int) -> DataFrame:
         for b in batches:
             names = b["key"].to_pylist()
             held, out = 0, []
-            for name, text in zip(names, b["text"].to_pylist(), strict=True):
+            for name, text in zip(names, (x.as_py() for x in b["text"]), strict=True):
                 words, found = _paragraphs(text or "")
                 if not words:
                     continue
@@ -209,7 +209,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.cumsum(pa.compute.list_value_length(b["wanted"]).to_numpy(zero_copy_only=False))
             kinds, spans, names = (x.to_numpy() for x in b["wanted"].flatten().flatten())
             held, out = 0, []
-            for i, (key, text) in enumerate(zip(b["key"].to_pylist(), b["text"].to_pylist(), strict=True)):
+            for i, (key, text) in enumerate(zip(b["key"].to_pylist(), (x.as_py() for x in b["text"]), strict=True)):
                 h = _hashes((text or "").lower().split())
                 own = slice(ends[i - 1] if i else 0, ends[i])
                 kind, first, end = kinds[own], spans[own] >> 32, spans[own] & (2**32 - 1)

@@ -266,7 +266,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("score", pa.float64())]))
         for b in batches:
             scores, spans = [], []
-            for text in b["text"].to_pylist():
+            for text in (x.as_py() for x in b["text"]):
                 total, found = evidence(model, text)
                 x = model.slope * math.log1p(total) + model.shift
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
