@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
+from tessera.llm._shared import stored
 
-_caches: dict[str, tuple[Vocabulary, Cache]] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
-#: Code points that are split and replayed together, and different pieces that a worker keeps (of those in several blocks, in one).
-BLOCK_CHARS = 1 << 22
-OFTEN, ONCE = 500_000, 300_000
+#: Code points whose pieces are numbered together, bytes of different pieces that are replayed together, ids that are decoded together.
+BLOCK_CHARS, REPLAYED, DECODED = 1 << 23, 1 << 20, 1 << 18
 #: Ranks below which all positions of a merge are taken at once.
 FREQUENT = 1_500
 
@@ -174,76 +176,172 @@ def replay(words: Iterable[bytes], vocab: Vocabulary) -> list[bytes]:
     return [ids[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts[:-1])], cuts, strict=True)] if cuts else []
 
 
-class Cache:
-    """Ids by piece: those of pieces that at least two blocks held, and those that one held so far. Both are bounded."""
+class Numbers(dict):
+    """Numbers the different pieces of a block in the order in which they come."""
 
-    def __init__(self, often: int = OFTEN, once: int = ONCE) -> None:
-        self.often: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
-        self.limits = often, once
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
 
-    def take(self, wanted: set[str], vocab: Vocabulary) -> dict[str, bytes]:
-        """The ids of all wanted pieces; those not at hand are replayed together."""
-        new = wanted.difference(self.often)
-        again = new.intersection(self.once)
-        if len(self.often) + len(again) > self.limits[0]:
-            self.often = {p: self.often[p] for p in wanted.difference(new)}
-        self.often.update((p, self.once.pop(p)) for p in again)
-        fresh = sorted(new - again)
-        made = dict(zip(fresh, replay([p.encode("utf-8", "surrogatepass") for p in fresh], vocab), strict=True))
-        if len(self.once) + len(made) > self.limits[1]:
-            self.once = {}
-        if len(made) <= self.limits[1]:
-            self.once.update(made)
-        return {p: made[p] if p in made else self.often[p] for p in wanted}
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, small ones mostly, compressed: all lowest bytes first, then the next ones."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
 
-def encode_texts(texts: list[str], vocab: Vocabulary, cache: Cache, find: Callable[[str], list[str]]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    pieces = [find(x) for x in texts]
-    known = cache.take(set().union(*pieces), vocab)
-    for found in pieces:
-        yield b"".join(map(known.__getitem__, found))
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def joined(numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ids of the numbered pieces one after another; those of piece k are ids[starts[k] : starts[k + 1]]."""
+    first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
+    before = np.cumsum(sizes) - sizes
+    return ids[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 def decode(ids: bytes, vocab: Vocabulary) -> bytes:
     return b"".join(map(vocab.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
+def _vocabulary(ranks: dict[bytes, int], key: str) -> Vocabulary:
+    """One a worker process and vocabulary."""
+    if key not in _vocabularies:
+        _vocabularies[key] = Vocabulary(ranks)
+    return _vocabularies[key]
+
+
+def split(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per block of about ``block_chars`` code points (or one longer text): what its texts are made of.
+
+    ``block`` is the block's number, ``pieces`` its different matches of ``pattern``, ``uses`` the places
+    in that list of all pieces of all its texts (see ``packed``), ``doc_ids`` and ``sizes`` the texts'
+    doc_ids and how many pieces they have.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = tokens.splitter(pattern).findall
+        block = TaskContext.get().partitionId() << 31
+        numbers, uses, doc_ids, sizes, held, of = Numbers(), [], [], [], 0, None
+
+        def row() -> pa.RecordBatch:
+            columns = [
+                pa.array([block], pa.int64()),
+                pa.array([doc_ids], pa.list_(of)),
+                pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([packed(np.concatenate(uses))], pa.binary()),
+                pa.array([[p.encode() for p in numbers]], pa.list_(pa.binary())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "uses", "pieces"])
+
+        for b in batches:
+            of = b["doc_id"].type
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+                text = text.as_py() or ""
+                if doc_ids and held + len(text) > block_chars:
+                    yield row()
+                    block += 1
+                    numbers, uses, doc_ids, sizes, held = Numbers(), [], [], [], 0
+                found = find(text)
+                uses.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                doc_ids.append(doc_id)
+                sizes.append(len(found))
+                held += len(text)
+        if doc_ids:
+            yield row()
+
+    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, uses binary, pieces array<binary>"
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def replayed(pieces: DataFrame, ranks: dict[bytes, int], key: str) -> DataFrame:
+    """(block, place, ids) of rows (block, place, piece), ids as little-endian unsigned 32-bit integers.
+
+    Equal pieces come together, in one partition and one after another, so that each different piece of
+    the whole corpus is replayed once, together with the others of its partition, REPLAYED bytes of
+    them (or one longer piece) at a time. Rows stream, so a piece that all blocks have does no harm.
+    """
+    shipped = pieces.sparkSession.sparkContext.broadcast((ranks, key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = _vocabulary(*shipped.value)
+        held: list[tuple[pa.RecordBatch, pa.Array]] = []  # batches of rows, and which of the words each row is
+        words: list[bytes] = []
+        size, last = 0, None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            ids = pa.array(replay(words, vocab), pa.binary())
+            for b, which in held:
+                yield pa.RecordBatch.from_arrays([b["block"], b["place"], ids.take(which)], ["block", "place", "ids"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b["piece"])
+            ends = runs.run_ends.to_numpy()
+            new = runs.values.to_pylist()
+            # the first run of a batch may go on with the last piece of the one before
+            goes_on = bool(words) and new[0] == last
+            which = np.repeat(np.arange(len(new)), np.diff(ends, prepend=0)) + len(words) - goes_on
+            words.extend(new[goes_on:])
+            size += sum(map(len, new[goes_on:]))
+            last = new[-1]
+            held.append((b, pa.array(which)))
+            if size >= REPLAYED or len(held) >= 64:
+                yield from rows()
+                held, words, size = [], [], 0
+        if held:
+            yield from rows()
+
+    together = pieces.repartition("piece").sortWithinPartitions("piece")
+    return together.select("block", "place", "piece").mapInArrow(run, "block long, place int, ids binary")
+
+
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` (array<long>).
 
     Every match of ``pattern`` is encoded separately and without special tokens; null text counts as
     empty, and an empty text has no ids. The ids are decoded again and the bytes' digest returned. Rows
     stay as they are: repeated rows give repeated results, an empty table none, other columns of docs
-    are not read. Pieces are replayed in blocks of at most BLOCK_CHARS code points (or one longer text),
-    and each worker keeps at most OFTEN + ONCE pieces, so memory does not follow the corpus.
+    are not read.
+
+    Three steps: texts are split once, and a block of texts is written as its different pieces and
+    their order (``split``); pieces of all blocks are met by a shuffle and replayed (``replayed``); each
+    block gets its pieces' ids back and joins them. What is shuffled is a block's different pieces, not
+    every token, and memory follows the block, not the corpus.
     """
     ranks = tokens.ranks_of(vocabulary)
-    shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern, tokens.key_of(ranks)))
+    key = tokens.key_of(ranks)
+    shipped = docs.sparkSession.sparkContext.broadcast((ranks, key))
+    blocks, _ = stored(split(docs, pattern, block_chars), "bpe-blocks")
+    found = replayed(blocks.select("block", F.posexplode("pieces").alias("place", "piece")), ranks, key)
+    digests = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int64())} if ids else {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pattern, key = shipped.value
-        if key not in _caches:
-            _caches[key] = (Vocabulary(ranks), Cache())
-        vocab, cache = _caches[key]
-        find = tokens.splitter(pattern).findall
-        for b in batches:
-            texts = [x or "" for x in b["text"].to_pylist()]
-            out: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                for e in encode_texts(texts[at:end], vocab, cache, find):
-                    row = (len(e) // 4, hashlib.sha256(e).hexdigest(), hashlib.sha256(decode(e, vocab)).hexdigest())
-                    out.append((*row, np.frombuffer(e, "<u4").astype(np.int64)) if ids else row)
-                at = end
-            kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int64())} if ids else {})
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["doc_id", *kinds])
+    def run(block: pa.Table, pieces: pa.Table) -> pa.Table:
+        vocab = _vocabulary(*shipped.value)
+        of = pieces["ids"].combine_chunks().take(pc.sort_indices(pieces["place"]))
+        if isinstance(of, pa.ChunkedArray):
+            of = pa.concat_arrays(of.chunks) if of.num_chunks else pa.array([], pa.binary())
+        starts = np.concatenate([[0], np.cumsum(pc.binary_length(of).to_numpy(zero_copy_only=False))]).astype(np.int64) // 4
+        every = np.frombuffer(b"".join(of.to_pylist()), "<u4")
+        sizes = block["sizes"][0].as_py()
+        uses = unpacked(block["uses"][0].as_py(), sum(sizes))
+        out: list[tuple] = []
+        at = 0
+        for n in sizes:
+            mine = joined(uses[at : at + n].astype(np.int64), every, starts)
+            at += n
+            text = hashlib.sha256()
+            for i in range(0, len(mine), DECODED):
+                text.update(decode(mine[i : i + DECODED].tobytes(), vocab))
+            row = (len(mine), hashlib.sha256(mine.tobytes()).hexdigest(), text.hexdigest())
+            out.append((*row, mine.astype(np.int64)) if ids else row)
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(digests.values())]
+        return pa.Table.from_arrays([block["doc_ids"].combine_chunks().flatten(), *columns], ["doc_id", *digests])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return blocks.drop("pieces").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)

@@ -220,15 +220,44 @@ def test_bpe(spark, corpus, empty):
     assert bpe.encoded(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_of_many_blocks(spark, corpus):
+    spread = corpus.repartition(3)
+    whole, cut = (sorted(map(tuple, bpe.encoded(d, RANKS, public_tokenizers.PATTERN, block_chars=n).collect()), key=str) for d, n in ((corpus, 1 << 23), (spread, 900)))
+    assert whole == cut
+    blocks = bpe.split(spread, public_tokenizers.PATTERN, 900).collect()
+    assert len({r["block"] for r in blocks}) == len(blocks) > 10
+    assert all(len(set(r["pieces"])) == len(r["pieces"]) for r in blocks)
+    assert sum(len(r["doc_ids"]) for r in blocks) == corpus.count()
+
+
+def test_pieces_are_replayed_by_run_of_rows(spark):
+    ranks = tokens.ranks_of(RANKS)
+    words = [b"hello", b" world", b"a" * 500, b"zq", b"\xc3\xa9"]
+    pieces = spark.createDataFrame([(i, 7 * i, bytearray(words[i % 5])) for i in range(700)], "block long, place int, piece binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # runs of rows go on over batches
+    try:
+        found = bpe.replayed(pieces, ranks, tokens.key_of(ranks)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = {i: enc._encode_single_piece(words[i % 5]) for i in range(700)}
+    assert {r["block"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in found} == expected
+    assert len(found) == 700
+    assert all(r["place"] == 7 * r["block"] for r in found)
+
+
 def test_replay_is_tiktoken():
     ranks = tokens.ranks_of(RANKS)
     vocab, enc = bpe.Vocabulary(ranks), tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(11)
     texts = ["".join(rng.choice("aab \n'sé1!😀the") for _ in range(rng.randint(0, 200))) for _ in range(150)] + ["a" * 999, "<|endoftext|>"]
-    cache = bpe.Cache(often=50, once=40)
     find = tokens.splitter(public_tokenizers.PATTERN).findall
     for at in range(0, len(texts), 10):
-        for text, ids in zip(texts[at : at + 10], bpe.encode_texts(texts[at : at + 10], vocab, cache, find), strict=True):
+        some = [find(t) for t in texts[at : at + 10]]
+        pieces = sorted({p for found in some for p in found})
+        known = dict(zip(pieces, bpe.replay([p.encode() for p in pieces], vocab), strict=True))
+        for text, found in zip(texts[at : at + 10], some, strict=True):
+            ids = b"".join(known[p] for p in found)
             assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text)
             assert bpe.decode(ids, vocab) == text.encode()
 
