@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import struct
+import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm._shared import stored
+from tessera.llm._shared import shared_dir
 
 _vocabularies: dict[str, Vocabulary] = {}
 
 #: Code points whose pieces are numbered together, bytes of different pieces that are replayed together, ids that are decoded together.
-BLOCK_CHARS, REPLAYED, DECODED = 1 << 23, 1 << 20, 1 << 18
+BLOCK_CHARS, REPLAYED, DECODED = 1 << 24, 1 << 20, 1 << 18
+#: Bytes of text for each share of the pieces (they are dealt by a hash), and different pieces of a share that a worker holds at once.
+SHARE_BYTES, KNOWN = 1 << 25, 2_000_000
 #: Ranks below which all positions of a merge are taken at once.
 FREQUENT = 1_500
 
@@ -186,19 +190,38 @@ class Numbers(dict):
 
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, small ones mostly, compressed: all lowest bytes first, then the next ones."""
-    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
+    return bundled(numbers.astype("<u4").tobytes(), 4)
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.empty(0, np.uint32)
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(unbundled(data, 4), "<u4")
 
 
-def joined(numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The ids of the numbered pieces one after another; those of piece k are ids[starts[k] : starts[k + 1]]."""
-    first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
+def bundled(data: bytes, width: int) -> bytes:
+    """The bytes compressed, after their number; the k-th ones of every ``width`` stand together."""
+    planes = np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes()
+    return struct.pack("<Q", len(data)) + (pa.compress(planes, "zstd", asbytes=True) if data else b"")
+
+
+def unbundled(data: bytes, width: int) -> bytes:
+    (n,) = struct.unpack_from("<Q", data)
+    return np.frombuffer(pa.decompress(data[8:], n, "zstd"), np.uint8).reshape(width, -1).T.tobytes() if n else b""
+
+
+def strung(words: list[bytes], width: int = 1) -> bytes:
+    """Byte strings of multiples of ``width`` bytes as one."""
+    sizes = packed(np.fromiter(map(len, words), np.int64, len(words)) // width)
+    return struct.pack("<Q", len(sizes)) + sizes + bundled(b"".join(words), width)
+
+
+def unstrung(data: bytes, width: int = 1) -> tuple[np.ndarray, bytes]:
+    """(size of each in units of ``width`` bytes, all of them joined)."""
+    (n,) = struct.unpack_from("<Q", data)
+    return unpacked(data[8 : 8 + n]).astype(np.int64), unbundled(data[8 + n :], width)
+
+
+def joined(first: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The runs ids[first : first + size] one after another."""
     before = np.cumsum(sizes) - sizes
     return ids[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))]
 
@@ -214,14 +237,16 @@ def _vocabulary(ranks: dict[bytes, int], key: str) -> Vocabulary:
     return _vocabularies[key]
 
 
-def split(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def split(docs: DataFrame, pattern: str, shares: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block of about ``block_chars`` code points (or one longer text): what its texts are made of.
 
-    ``block`` is the block's number, ``pieces`` its different matches of ``pattern``, ``uses`` the places
-    in that list of all pieces of all its texts (see ``packed``), ``doc_ids`` and ``sizes`` the texts'
-    doc_ids and how many pieces they have.
+    ``block`` is the block's number. Its different matches of ``pattern`` are numbered; ``uses`` are the
+    numbers of all pieces of all its texts, ``dealt`` each piece's share (by a hash, see ``packed``), and
+    ``parts`` the pieces themselves by share, in order of their numbers (see ``strung``). ``doc_ids``
+    and ``sizes`` are the texts' doc_ids and how many pieces they have.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    part = pa.list_(pa.struct([("share", pa.int32()), ("words", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokens.splitter(pattern).findall
@@ -229,14 +254,21 @@ def split(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Data
         numbers, uses, doc_ids, sizes, held, of = Numbers(), [], [], [], 0, None
 
         def row() -> pa.RecordBatch:
+            words = [p.encode() for p in numbers]
+            dealt = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shares
+            by_share: dict[int, list[bytes]] = {}
+            for k, w in zip(dealt.tolist(), words, strict=True):
+                by_share.setdefault(k, []).append(w)
+            parts = [{"share": k, "words": strung(some)} for k, some in by_share.items()]
             columns = [
                 pa.array([block], pa.int64()),
                 pa.array([doc_ids], pa.list_(of)),
                 pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([packed(np.concatenate(uses))], pa.binary()),
-                pa.array([[p.encode() for p in numbers]], pa.list_(pa.binary())),
+                pa.array([packed(dealt)], pa.binary()),
+                pa.array([parts], part),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "uses", "pieces"])
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "uses", "dealt", "parts"])
 
         for b in batches:
             of = b["doc_id"].type
@@ -254,54 +286,62 @@ def split(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Data
         if doc_ids:
             yield row()
 
-    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, uses binary, pieces array<binary>"
+    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, uses binary, dealt binary, parts array<struct<share: int, words: binary>>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def replayed(pieces: DataFrame, ranks: dict[bytes, int], key: str) -> DataFrame:
-    """(block, place, ids) of rows (block, place, piece), ids as little-endian unsigned 32-bit integers.
+def replayed(parts: DataFrame, ranks: dict[bytes, int], key: str, most: int = KNOWN) -> DataFrame:
+    """(block, share, ids) of rows (block, share, words): each word's ids, in order, as ``strung`` of width 4.
 
-    Equal pieces come together, in one partition and one after another, so that each different piece of
-    the whole corpus is replayed once, together with the others of its partition, REPLAYED bytes of
-    them (or one longer piece) at a time. Rows stream, so a piece that all blocks have does no harm.
+    All rows of a share come together, one share after another, so that each different piece of the whole
+    corpus is replayed once, with the new ones of its share, REPLAYED bytes of them (or one longer piece)
+    at a time. Only of a share with more than ``most`` different pieces some are replayed again.
     """
-    shipped = pieces.sparkSession.sparkContext.broadcast((ranks, key))
+    shipped = parts.sparkSession.sparkContext.broadcast((ranks, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(*shipped.value)
-        held: list[tuple[pa.RecordBatch, pa.Array]] = []  # batches of rows, and which of the words each row is
-        words: list[bytes] = []
-        size, last = 0, None
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            ids = pa.array(replay(words, vocab), pa.binary())
-            for b, which in held:
-                yield pa.RecordBatch.from_arrays([b["block"], b["place"], ids.take(which)], ["block", "place", "ids"])
+        known: dict[bytes, bytes] = {}
+        last = None
+
+        def learn(new: list[bytes]) -> None:
+            at = 0
+            while at < len(new):
+                end, size = at, 0
+                while end < len(new) and (end == at or size + len(new[end]) <= REPLAYED):
+                    size += len(new[end])
+                    end += 1
+                known.update(zip(new[at:end], replay(new[at:end], vocab), strict=True))
+                at = end
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            runs = pc.run_end_encode(b["piece"])
-            ends = runs.run_ends.to_numpy()
-            new = runs.values.to_pylist()
-            # the first run of a batch may go on with the last piece of the one before
-            goes_on = bool(words) and new[0] == last
-            which = np.repeat(np.arange(len(new)), np.diff(ends, prepend=0)) + len(words) - goes_on
-            words.extend(new[goes_on:])
-            size += sum(map(len, new[goes_on:]))
-            last = new[-1]
-            held.append((b, pa.array(which)))
-            if size >= REPLAYED or len(held) >= 64:
-                yield from rows()
-                held, words, size = [], [], 0
-        if held:
-            yield from rows()
-
-    together = pieces.repartition("piece").sortWithinPartitions("piece")
-    return together.select("block", "place", "piece").mapInArrow(run, "block long, place int, ids binary")
-
-
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+            out = []
+            for share, data in zip(b["share"].to_pylist(), b["words"], strict=True):
+                if share != last or len(known) > most:
+                    known.clear()
+                    last = share
+                sizes, text = unstrung(data.as_py())
+                ends = np.cumsum(sizes).tolist()
+                words = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+                learn([w for w in words if w not in known])
+                out.append(strung([known[w] for w in words], 4))
+            yield pa.RecordBatch.from_arrays([b["block"], b["share"], pa.array(out, pa.binary())], ["block", "share", "ids"])
+
+    together = parts.repartition("share").sortWithinPartitions("share", "block")
+    return together.select("block", "share", "words").mapInArrow(run, "block long, share int, ids binary")
+
+
+def _bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``df`` written to the shared folder in n buckets of the column and read again, so that joins by it need no shuffle of it."""
+    spark, name = df.sparkSession, f"bpe_blocks_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved, so that the name is no longer needed; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, block_chars: int = BLOCK_CHARS, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` (array<long>).
 
     Every match of ``pattern`` is encoded separately and without special tokens; null text counts as
@@ -310,31 +350,38 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, b
     are not read.
 
     Three steps: texts are split once, and a block of texts is written as its different pieces and
-    their order (``split``); pieces of all blocks are met by a shuffle and replayed (``replayed``); each
-    block gets its pieces' ids back and joins them. What is shuffled is a block's different pieces, not
-    every token, and memory follows the block, not the corpus.
+    their order (``split``); pieces of all blocks meet by shares and are replayed (``replayed``); each
+    block gets its pieces' ids back and joins them. What is shuffled is a block's different pieces,
+    compressed by share, not every token; shares follow the size of all texts, and memory the block
+    and the share, not the corpus.
     """
     ranks = tokens.ranks_of(vocabulary)
     key = tokens.key_of(ranks)
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, key))
-    blocks, _ = stored(split(docs, pattern, block_chars), "bpe-blocks")
-    found = replayed(blocks.select("block", F.posexplode("pieces").alias("place", "piece")), ranks, key)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-size // share_bytes))
+    blocks = _bucketed(split(docs, pattern, shares, block_chars), "block", max(partitions, min(shares, 100_000)))
+    found = replayed(blocks.select("block", F.explode("parts").alias("p")).select("block", "p.share", "p.words"), ranks, key)
     digests = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int64())} if ids else {})
 
-    def run(block: pa.Table, pieces: pa.Table) -> pa.Table:
+    def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         vocab = _vocabulary(*shipped.value)
-        of = pieces["ids"].combine_chunks().take(pc.sort_indices(pieces["place"]))
-        if isinstance(of, pa.ChunkedArray):
-            of = pa.concat_arrays(of.chunks) if of.num_chunks else pa.array([], pa.binary())
-        starts = np.concatenate([[0], np.cumsum(pc.binary_length(of).to_numpy(zero_copy_only=False))]).astype(np.int64) // 4
-        every = np.frombuffer(b"".join(of.to_pylist()), "<u4")
-        sizes = block["sizes"][0].as_py()
-        uses = unpacked(block["uses"][0].as_py(), sum(sizes))
+        dealt = unpacked(block["dealt"][0].as_py())
+        by_share = dict(zip(parts["share"].to_pylist(), parts["ids"].to_pylist(), strict=True))
+        runs = [unstrung(by_share[k], 4) for k in sorted(by_share)]
+        length = np.concatenate([np.empty(0, np.int64), *(sizes for sizes, _ in runs)])
+        every = np.frombuffer(b"".join(x for _, x in runs), "<u4")
+        of = np.empty(len(dealt), np.int64)  # where each piece stands in the shares
+        of[np.argsort(dealt, kind="stable")] = np.arange(len(dealt))
+        first, length = (np.cumsum(length) - length)[of], length[of]
+        uses = unpacked(block["uses"][0].as_py())
         out: list[tuple] = []
         at = 0
-        for n in sizes:
-            mine = joined(uses[at : at + n].astype(np.int64), every, starts)
+        for n in block["sizes"][0].as_py():
+            some = uses[at : at + n]
             at += n
+            mine = joined(first[some], length[some], every)
             text = hashlib.sha256()
             for i in range(0, len(mine), DECODED):
                 text.update(decode(mine[i : i + DECODED].tobytes(), vocab))
@@ -344,4 +391,4 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, b
         return pa.Table.from_arrays([block["doc_ids"].combine_chunks().flatten(), *columns], ["doc_id", *digests])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
-    return blocks.drop("pieces").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+    return blocks.drop("parts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)

@@ -222,28 +222,37 @@ def test_bpe(spark, corpus, empty):
 
 def test_bpe_of_many_blocks(spark, corpus):
     spread = corpus.repartition(3)
-    whole, cut = (sorted(map(tuple, bpe.encoded(d, RANKS, public_tokenizers.PATTERN, block_chars=n).collect()), key=str) for d, n in ((corpus, 1 << 23), (spread, 900)))
+    whole, cut = (sorted(map(tuple, bpe.encoded(d, RANKS, public_tokenizers.PATTERN, block_chars=n, share_bytes=m).collect()), key=str) for d, n, m in ((corpus, 1 << 23, 1 << 30), (spread, 900, 2_000)))
     assert whole == cut
-    blocks = bpe.split(spread, public_tokenizers.PATTERN, 900).collect()
+    blocks = bpe.split(spread, public_tokenizers.PATTERN, 7, 900).collect()
     assert len({r["block"] for r in blocks}) == len(blocks) > 10
-    assert all(len(set(r["pieces"])) == len(r["pieces"]) for r in blocks)
     assert sum(len(r["doc_ids"]) for r in blocks) == corpus.count()
-
-
-def test_pieces_are_replayed_by_run_of_rows(spark):
+    share = {}
+    for r in blocks:
+        assert len({p["share"] for p in r["parts"]}) == len(r["parts"]) <= 7
+        words = []
+        for p in r["parts"]:
+            sizes, text = bpe.unstrung(bytes(p["words"]))
+            ends = np.cumsum(sizes).tolist()
+            some = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            assert all(share.setdefault(w, p["share"]) == p["share"] for w in some)
+            words += some
+        assert len(set(words)) == len(words) == len(bpe.unpacked(bytes(r["dealt"])))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_pieces_are_replayed_by_share(spark, most):
     ranks = tokens.ranks_of(RANKS)
     words = [b"hello", b" world", b"a" * 500, b"zq", b"\xc3\xa9"]
-    pieces = spark.createDataFrame([(i, 7 * i, bytearray(words[i % 5])) for i in range(700)], "block long, place int, piece binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # runs of rows go on over batches
-    try:
-        found = bpe.replayed(pieces, ranks, tokens.key_of(ranks)).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    some = {(i, i % 4): [words[(i + k) % 5] for k in range(i % 6)] for i in range(100)}
+    parts = spark.createDataFrame([(b, s, bytearray(bpe.strung(w))) for (b, s), w in some.items()], "block long, share int, words binary")
+    found = {(r["block"], r["share"]): bpe.unstrung(bytes(r["ids"]), 4) for r in bpe.replayed(parts, ranks, tokens.key_of(ranks), most).collect()}
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    expected = {i: enc._encode_single_piece(words[i % 5]) for i in range(700)}
-    assert {r["block"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in found} == expected
-    assert len(found) == 700
-    assert all(r["place"] == 7 * r["block"] for r in found)
+    assert found.keys() == some.keys()
+    for at, (sizes, ids) in found.items():
+        expected = [enc._encode_single_piece(w) for w in some[at]]
+        assert sizes.tolist() == list(map(len, expected))
+        assert np.frombuffer(ids, "<u4").tolist() == [i for e in expected for i in e]
 
 
 def test_replay_is_tiktoken():
