@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import bounded_sample
+from tessera.llm._shared import bounded_sample, drop_path, stored
 
 #: Bytes of a passage, hashed pairs of bytes, width of a passage's encoding and of the attention.
 PASSAGE, PAIRS, WIDTH, GATE = 1_000, 256, 32, 16
 #: Labelled documents of each class that are learnt from, at most (by a hash of doc_id), and bytes of text that are held at once.
 SAMPLE, HELD = 4_000, 1 << 22
+#: Bytes of all texts of a class that are learnt from, at most: a document that no longer fits is left out of the fit.
+SAMPLE_BYTES = 1 << 26
 
 _BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(PAIRS)
 
@@ -140,10 +142,28 @@ def fit(labelled: list[tuple[str | None, int]], share: float | None = None, roun
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> Model:
-    """Fit on at most ``most`` labelled documents of each class, weighted to the classes' shares among all usable labels."""
+def within(rows: list[tuple], most_bytes: int) -> list:
+    """Of (y, order, bytes, what) rows what is taken by order, class by class, as long as it fits the class's bytes."""
+    left, out = {}, []
+    for y, _, size, what in sorted(rows):
+        if size <= left.setdefault(y, most_bytes):
+            left[y] -= size
+            out.append(what)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``most`` labelled documents and ``most_bytes`` of text of each class, weighted to the classes' shares among all usable labels."""
     share = labels.where(F.col("quality").isin(0, 1) & usable).agg(F.avg("quality")).first()[0]
-    rows = bounded_sample(docs, labels, "quality", usable, most).collect()
+    sample, path = stored(bounded_sample(docs, labels, "quality", usable, most), "labelled")
+    digest = F.xxhash64("text").alias("digest")
+    sizes = sample.select("y", digest, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
+    taken = within([(r["y"], r["digest"], r["size"], (r["y"], r["digest"])) for r in sizes], most_bytes)
+    if len(taken) < len(sizes):
+        fits = docs.sparkSession.createDataFrame(sorted(set(taken)), "y int, digest long")
+        sample = sample.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fits), ["y", "digest"], "left_semi")
+    rows = sample.select("text", "y").collect()
+    drop_path(docs.sparkSession, path)
     return fit(sorted(((r["text"], r["y"]) for r in rows), key=lambda x: (x[0] or "", x[1])), share)
 
 

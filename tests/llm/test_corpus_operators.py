@@ -307,6 +307,22 @@ def test_fingerprints(spark, corpus, empty):
     assert fingerprints.edited_fingerprints(empty).collect() == []
 
 
+@pytest.mark.parametrize("far", [[], [1 << 60], [-(1 << 63), (1 << 63) - 1]])
+def test_next_of_uneven_ids(spark, far):
+    rng = random.Random(5)
+    keys = [*range(100), *range(5_000, 5_300), *rng.sample(range(10**6), 50), *far, *[None] * 150, *[7] * 9]
+    rows = [(k, rng.getrandbits(63) * rng.choice([1, -1]), i) for i, k in enumerate(keys)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, _tie long, v long")
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expected = {a[2]: b[2] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    found = fingerprints.with_next(df, ["v"], size=10).collect()
+    assert len(found) == len(rows)
+    assert {r["v"]: r["next_v"] for r in found} == expected
+    sizes = Counter(r["_bucket"] for r in fingerprints._buckets(df, "doc_id", "_tie", 10)[0].collect())
+    assert max(sizes.values()) <= 100
+
+
 def test_sketch_merge(spark, prose):
     a, b = prose(3000, 21), prose(900, 22)
     df = spark.createDataFrame([(a, b, a + "\n" + b)], "a string, b string, both string")
@@ -335,6 +351,18 @@ def test_quality(spark, prose):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, prose, monkeypatch):
+    assert quality.within([(0, 2, 5, "b"), (0, 1, 8, "a"), (0, 3, 2, "c"), (1, 1, 9, "d"), (1, 2, 11, "e")], 10) == ["a", "c", "d"]
+    texts = [(i, prose(5_000 if i == 3 else 30, i)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, share: fitted.append((rows, share)))
+    quality.train(docs, labels, F.lit(True), most_bytes=10_000)
+    assert sorted(t for t, _ in fitted[0][0]) == sorted(t for i, t in texts if i != 3)
+    assert fitted[0][1] == 0.5
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(5)
     x, first, y = rng.normal(size=(9, 256 + quality.PAIRS + 1)), np.array([0, 2, 6]), np.array([1.0, 0.0, 1.0])
