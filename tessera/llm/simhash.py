@@ -76,6 +76,9 @@ def near_pairs(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataF
     and verifies the whole distance. The radii follow from the pigeonhole principle (for 2 bits and two
     segments of 32: radius 1 and radius 0), so that no pair is missed. ``fp`` must be distinct: a
     fingerprint then has no more partners than its Hamming ball has points, whatever the copies.
+
+    The join is a merge join by a hint: the optimizer's estimate of the probes' size leaves out that each
+    fingerprint makes 34 of them, so that it would have the driver gather and broadcast them all.
     """
     width = BITS // segments
     parts: list[tuple[DataFrame, DataFrame]] = []
@@ -90,7 +93,7 @@ def near_pairs(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataF
     stock, asks = parts[0]
     for s, a in parts[1:]:
         stock, asks = stock.union(s), asks.union(a)
-    found = asks.join(stock, ["seg", "key"]).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
+    found = asks.hint("merge").join(stock, ["seg", "key"]).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
     return found.select("u", "v").distinct()
 
 
