@@ -37,7 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that 5-word shingles with an exact Jaccard similarity of 0.8 or more link.
 
-    It is the one of the smallest doc_id (null ids last); of repeated rows, and of texts without words, one stays.
+    Candidates come from SimHash segments. It is the one of the smallest doc_id (null ids last); of repeated rows, and of texts without words, one stays.
     """
     return near_documents.keep_one(docs, similar=0.8)
 

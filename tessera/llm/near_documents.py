@@ -1,40 +1,126 @@
-"""Near copies of whole documents: MinHash banding of 5-word shingles for candidates, exact Jaccard for links."""
+"""Near copies of whole documents: wide SimHashes of 5-word shingles for candidates, exact Jaccard for links."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Scratch, keyed
-from tessera.llm.substring_dedup import SHINGLE, SIMILAR, _band_keys, _functions, _hashes, _least, _shingles, bands_for, near_sets, packed_span
+from tessera.llm._shared import Scratch, components, keyed, may_be_among
+from tessera.llm.substring_dedup import SHINGLE, SIMILAR, _fetched, _hashes, _mix, _mixed, _shingles, _similar, packed_span
 
+#: Segments of the SimHash and their bits; 64 further bits are the fingerprint that candidates are compared by.
+SEGMENTS, WIDTH = 28, 24
+#: Words of 64 bits that hold them all.
+WORDS = -(-(SEGMENTS * WIDTH + 64) // 64)
+#: Sets of fewer shingles are short: their counts are small numbers, which tell less of which bits may differ.
+SHORT = 24
+#: Bits of a segment, those nearest to a tie, that are probed both ways, and most bits of 64 in which candidates differ: (of short sets, of others).
+FLIPS, DISTANCE = (5, 3), (24, 21)
+_STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+_OFFSETS = np.arange(8 * WORDS) * 256
+_SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
-def _prints(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Per row (key, text) its key, its number of words, two hashes of them and, where it has a shingle, its bands."""
-    functions = _functions(bands * rows)
+
+def balances(shingles: np.ndarray) -> np.ndarray:
+    """For each bit of the wide SimHash the shingles (hashes) that set it, less those that don't; the bit is one where that is positive."""
+    counts = np.zeros(len(_OFFSETS) * 256, np.int64)
+    for at in range(0, len(shingles), 1 << 12):
+        wide = _mix(_mix(shingles[at : at + (1 << 12), None].view(np.uint64) + _STEPS))
+        counts += np.bincount((np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1) + _OFFSETS).ravel(), minlength=len(counts))
+    return 2 * (counts.reshape(-1, 256) @ _SET).ravel() - len(shingles)
+
+
+def segments(balance: np.ndarray) -> np.ndarray:
+    """Each segment's bits in the low WIDTH bits of a long, and above them, 5 bits each, the places of those nearest to a tie."""
+    own = balance[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+    weakest = np.argsort(np.abs(own), axis=1, kind="stable")[:, : max(FLIPS)]
+    return (own > 0) @ (1 << np.arange(WIDTH)) + (weakest << (WIDTH + 5 * np.arange(max(FLIPS)))).sum(axis=1)
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """Per row (key, text) its key, number of words and two hashes of them; where it has a shingle, their number, 64 bits and the segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            two, keys, sizes = [], [], []
+            two, found, sizes, n, fps = [], [], [], [], []
             for text in (x.as_py() for x in b["text"]):
                 words = (text or "").lower().split()
                 sizes.append(len(words))
                 two.append(xxhash.xxh128_intdigest(" ".join(words)))
-                if len(words) < SHINGLE:
-                    keys.append(None)
-                    continue
-                sh = _shingles(_hashes(words))
-                keys.append(_band_keys(_least(sh, np.zeros(1, np.int64), functions), bands, rows)[:, 0].view(np.int64))
+                sh = np.unique(_shingles(_hashes(words))) if len(words) >= SHINGLE else ()
+                n.append(len(sh))
+                balance = balances(sh) if n[-1] else np.zeros(64 * WORDS)
+                fps.append(int(np.packbits(balance[-64:] > 0).view(np.int64)[0]))
+                found.append(segments(balance) if n[-1] else None)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             h1, h2 = signed([t & (2**64 - 1) for t in two]), signed([t >> 64 for t in two])
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(sizes, pa.int32()), h1, h2, pa.array(keys, pa.list_(pa.int64()))], ["key", "size", "h1", "h2", "bands"])
+            columns = [b["key"], pa.array(sizes, pa.int32()), h1, h2, pa.array(n, pa.int32()), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "h1", "h2", "n", "fp", "segments"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, size int, h1 long, h2 long, n int, fp long, segments array<long>")
+
+
+def _probes(nodes: DataFrame) -> DataFrame:
+    """(key, h1): each segment's value with every choice of its bits nearest to a tie."""
+
+    def chosen(part: DataFrame, flips: int) -> DataFrame:
+        each = part.select("h1", F.posexplode("segments").alias("at", "held"))
+        own = F.shiftleft(F.col("at").cast("long"), WIDTH).bitwiseOR(F.col("held").bitwiseAND(F.lit((1 << WIDTH) - 1)))
+        place = [F.shiftright("held", WIDTH + 5 * j).bitwiseAND(F.lit(31).cast("long")).cast("int") for j in range(flips)]
+        bit = [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in place]
+        masks = [reduce(Column.bitwiseOR, [bit[j] for j in range(flips) if s >> j & 1], F.lit(0).cast("long")) for s in range(1 << flips)]
+        return each.select("h1", own.alias("own"), F.explode(F.array(*masks)).alias("mask")).select(F.col("own").bitwiseXOR(F.col("mask")).alias("key"), "h1")
+
+    whole = nodes.where("segments is not null")
+    return chosen(whole.where(F.col("n") < SHORT), FLIPS[0]).union(chosen(whole.where(F.col("n") >= SHORT), FLIPS[1]))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """The different pairs (u, v) whose fingerprints and numbers of shingles allow the similarity."""
+    side = lambda x: nodes.select(F.col("h1").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"))
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
+    least, most = F.least("u_n", "v_n"), F.greatest("u_n", "v_n")
+    bits = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp")))
+    return both.where((least >= similar * most - 1e-9) & (bits <= F.when(least < SHORT, DISTANCE[0]).otherwise(DISTANCE[1]))).select("u", "v")
+
+
+def _roots(scratch: Scratch, rows: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """(node, root), both ``h1``: components of the nodes that are linked.
+
+    Nodes that share a probe form a bucket, where each is compared with the least and the greatest;
+    what the links leave apart in a bucket of more than three is then compared pair by pair across
+    components. So a group of near copies costs some rows a member instead of all its pairs.
+    """
+    probes = _probes(nodes)
+    buckets = scratch.write("probe-buckets", probes.groupBy("key").agg(F.min("h1").alias("r0"), F.max("h1").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1"))
+    large = buckets.where("n > 2")
+    members = scratch.write("probe-members", may_be_among(probes, large, "key").join(large, "key"))
+    star = members.select("h1", F.explode(F.array("r0", "r1")).alias("r")).where("h1 <> r").select(F.least("h1", "r").alias("u"), F.greatest("h1", "r").alias("v"))
+    pairs = scratch.write("near-pairs", _close(buckets.where("n = 2").select(F.col("r0").alias("u"), F.col("r1").alias("v")).union(star), nodes, similar))
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct()
+        wanted = nodes.join(ends, "h1", "left_semi").select(F.lit(0).alias("kind"), "least", packed_span(F.lit(0), F.col("size")).alias("pos"), "h1")
+        wanted = scratch.write(f"{label}-wanted", wanted)
+        sets = scratch.write(f"{label}-sets", _fetched(rows, wanted).dropDuplicates(["h1"]).select("h1", "shingles"))
+        links = scratch.write(f"{label}-links", _similar(pairs, sets, similar))
+        scratch.drop(f"{label}-sets", f"{label}-wanted")
+        return links
 
-    return docs.select("key", "text").mapInArrow(run, "key long, size int, h1 long, h2 long, bands array<long>")
+    links = linked(pairs, "star")
+    roots = scratch.write("roots", components(links))
+    rest = _mixed(scratch, members.select("key", "h1", "n"), roots)
+    side = lambda x: rest.select("key", F.col("h1").alias(x), F.col("root").alias(f"{x}_root"))
+    across = side("u").join(side("v"), "key").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root"))).select("u", "v")
+    across = scratch.write("pairs-across", _close(across, nodes, similar).join(pairs, ["u", "v"], "left_anti"))
+    more = linked(across, "across")
+    return roots if more.isEmpty() else scratch.write("roots-again", components(links.union(more)))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -42,21 +128,20 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Two documents are linked if the sets of their 5-word shingles (lower case, split at white space)
     have that Jaccard similarity or more, or if their words are equal; groups are the components of
-    such links. Candidates come from MinHash bands (recall 0.998 at 0.8, more above), every link is
-    verified on the whole sets. SimHash would need 18 of 64 bits for that recall, which no segments
-    serve. Documents under five words link by equal words only, those without words to each other.
+    such links. Candidates come from SimHash: at similarity 0.8 two of them differ in some 15 % of the
+    bits, which no complete search of 64 bits serves. So there are SEGMENTS segments of WIDTH bits,
+    and both sides of a pair probe each with all values of its FLIPS bits that are nearest to a tie,
+    as these are the likeliest to differ (for recall at 0.8 see the README; more above). Candidates are then compared by 64 further bits, and every link is verified on the
+    whole sets. Documents under five words link by equal words only, those without words to each other.
 
     The row of the smallest doc_id stays; rows with a null doc_id, and those of different texts under
     one doc_id, come after all others, in an order by hash (see ``_shared.keyed``). Of wholly repeated
     (doc_id, text) rows one stays. An empty table gives no rows; no name of a column clashes.
     """
-    bands, size = bands_for(similar)
     scratch, rows = Scratch(docs.sparkSession), keyed(docs)
-    prints = scratch.write("document-prints", _prints(rows, bands, size))
-    nodes = prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
-    nodes = scratch.write("document-nodes", nodes)
-    sets = nodes.where("bands is not null").select("h1", "least", packed_span(F.lit(0), F.col("size")).alias("pos"), "bands")
-    roots = near_sets(scratch, rows, sets, similar).withColumnRenamed("node", "h1")
+    prints = scratch.write("document-prints", _prints(rows))
+    nodes = scratch.write("document-nodes", prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "n", "fp", "segments")]))
+    roots = _roots(scratch, rows, nodes, similar).withColumnRenamed("node", "h1")
     placed = nodes.select("h1", "least").join(roots, "h1", "left").select(F.coalesce("root", "h1").alias("root"), "least")
     stays = placed.groupBy("root").agg(F.min("least").alias("stays"))
     by_node = nodes.select("h1", "h2").join(roots, "h1", "left").select("h1", "h2", F.coalesce("root", "h1").alias("root")).join(stays, "root")
